@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiffline.llm import langid
+from skiffline.llm import langid, sentences
 from skiffline.session import table
 
 
@@ -29,5 +29,19 @@ def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_parts(spark, sf_dir).select("item", "item_id", F.col("seg_no").cast("bigint").alias("seg_no"), "lang", "confidence", "n_sentences")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_parts)}
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("lang"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_sentences(spark, sf_dir).select("doc_id", "char_start", "char_end").distinct()
+
+
+def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and their mean and greatest length per document."""
+    n = F.col("char_end") - F.col("char_start")
+    return document_sentences(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg(n), 3).alias("mean_chars"), F.max(n).alias("max_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_parts, p10_found, p10_lengths)}
 SQL: dict[str, str] = {}
