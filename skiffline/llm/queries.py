@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiffline.llm import langid, sentences
+from skiffline.llm import langid, sentences, toxicity
 from skiffline.session import table
 
 
@@ -29,12 +29,32 @@ def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_parts(spark, sf_dir).select("item", "item_id", F.col("seg_no").cast("bigint").alias("seg_no"), "lang", "confidence", "n_sentences")
 
 
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, messages, web = table(spark, sf_dir, "mod_labels"), table(spark, sf_dir, "messages"), table(spark, sf_dir, "web_snapshots")
+    model = toxicity.fit_on(labels, F.col("text"), F.col("category"), messages, F.col("seq"), F.col("text"))
+    both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("channel_id").cast("string").alias("s"), F.col("text").alias("x")).unionByName(web.select(F.lit("web").alias("i"), F.col("id").alias("n"), F.col("source").alias("s"), F.col("text").alias("x")))
+    return toxicity.scores(both, model, F.col("i"), F.col("n"), F.col("s"), F.col("x"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(spark, sf_dir).where("category is not null").select("item", "item_id", "category")
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(spark, sf_dir).select("item", "item_id", F.round("score", 4).alias("score"), "category")
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per channel and per web source."""
+    return toxicity.rates(text_scores(spark, sf_dir))
+
+
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("lang"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_sentences(spark, sf_dir).select("doc_id", "char_start", "char_end").distinct()
+    return document_sentences(spark, sf_dir).select("doc_id", "char_start", "char_end")
 
 
 def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +63,5 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sentences(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg(n), 3).alias("mean_chars"), F.max(n).alias("max_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_parts, p10_found, p10_lengths)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_parts, p7_found, p7_scores, p7_rates, p10_found, p10_lengths)}
 SQL: dict[str, str] = {}
