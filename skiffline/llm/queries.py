@@ -9,10 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiffline.llm import langid, sentences, toxicity
+from skiffline.llm import langid, pii, sentences, toxicity
 from skiffline.session import table
 
 
+def personal_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Model]:
+    messages, revisions = table(spark, sf_dir, "messages"), table(spark, sf_dir, "message_revisions")
+    model = pii.fit_on(messages, F.col("seq"), F.col("text"), table(spark, sf_dir, "known_names"))
+    both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("text").alias("x")).unionByName(revisions.select(F.lit("revision").alias("i"), F.col("id").alias("n"), F.col("text").alias("x")))
+    return both, model
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, model = personal_texts(spark, sf_dir)
+    return pii.pieces(texts, model, F.col("i"), F.col("n"), F.col("x")).select("item", "item_id", "char_start", "pii_type")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal information."""
+    texts, model = personal_texts(spark, sf_dir)
+    return pii.redacted(texts, model, F.col("i"), F.col("n"), F.col("x"))
+
+
 def language_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, channels = table(spark, sf_dir, "messages"), table(spark, sf_dir, "channels")
     model = langid.fit_on(messages, F.col("seq"), F.col("text"), F.col("lang"))
@@ -63,5 +81,5 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sentences(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg(n), 3).alias("mean_chars"), F.max(n).alias("max_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_parts, p7_found, p7_scores, p7_rates, p10_found, p10_lengths)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_parts, p7_found, p7_scores, p7_rates, p10_found, p10_lengths)}
 SQL: dict[str, str] = {}
