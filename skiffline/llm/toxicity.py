@@ -7,9 +7,10 @@ sentences): pi R_P+ + max(0, R_U- - pi R_P-).
 Words as such don't decide: a report, rule or title that quotes an insult is common among
 the unlabelled, an insult is as rare there as its prior says.
 
-A labelled text may hold neutral sentences beside the one it was labelled for; which one
-that is comes out in rounds (the sentence that scores highest).  A text's score is that of
-its highest sentence.
+A labelled text may hold neutral sentences beside the one it was labelled for, and some
+labels are wrong: sentences that are common in the corpus, or that more clean texts hold,
+are no examples; of the rest the one that scores highest is.  A text's score is that of its
+highest sentence.
 
 The fit uses all labels and a bounded sample of unlabelled texts (``SAMPLE_TEXTS``);
 scoring is a narrow map over all rows, rates are plain partial aggregates.
@@ -38,7 +39,8 @@ ORDERS = (3, 4, 5)
 BITS = 19
 SAMPLE_TEXTS = 16_000  #: unlabelled texts that the fit uses, at most about this many
 PRIOR = 0.02  #: class prior: the share of a category among unlabelled sentences, rather too high than too low
-DOUBTFUL = -3.6  #: a confirmed example that a fit without it scores below this was labelled wrongly
+COMMON = 0.0015  #: a five-gram in this share of unlabelled sentences is common
+ALIKE = 0.8  #: share of five-grams that two sentences of one pattern have in common
 SURE = 0.5  #: an unlabelled sentence above this joins the examples
 THRESHOLD = 0.33
 
@@ -147,47 +149,69 @@ def nn_pu(g: Grams, positive: list[np.ndarray], unlabelled: np.ndarray, prior: n
     return table, bias
 
 
-def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (2, 4, 10, 14)) -> Model:
+def _shared(a: set[int], b: set[int]) -> bool:
+    return len(a & b) >= ALIKE * min(len(a), len(b)) and len(a & b) >= ALIKE * 0.8 * max(len(a), len(b))
+
+
+def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list[str], pool: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which sentences of labelled texts can be what the label is about, and which of the pool are common.
+
+    Common is a sentence most of whose five-grams many unlabelled sentences hold.  A
+    sentence that stands in more texts labelled clean than in texts of its category was
+    labelled wrongly.
+    """
+    g = grams([s.ljust(5) for s in (*flat, *clean, *pool)], (5,), 20)
+    bounds = np.append(g.starts, len(g.ids))
+    at = len(flat) + len(clean)
+    owners = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    mine = owners >= at
+    df = np.bincount(np.unique(owners[mine] * (1 << 20) + g.ids[mine]) & ((1 << 20) - 1), minlength=1 << 20)
+    often = (df[g.ids] >= max(3, COMMON * len(pool))).astype(np.float32)
+    common = np.add.reduceat(often, g.starts) / np.diff(bounds) >= 0.65
+    sets = [set(g.ids[bounds[i] : bounds[i + 1]].tolist()) for i in range(at)]
+    usable = ~common[: len(flat)]
+    for i in np.flatnonzero(usable):
+        against = sum(_shared(sets[i], sets[j]) for j in range(len(flat), at))
+        if against and against >= len({int(owner[j]) for j in np.flatnonzero(usable & (wanted == wanted[i])) if j != i and _shared(sets[i], sets[j])}):
+            usable[i] = False
+    vetoed = [sets[j] for j in range(len(flat), at) if not common[j]] + [sets[i] for i in range(len(flat)) if not usable[i] and not common[i]]
+    kept = [sets[i] for i in np.flatnonzero(usable)]
+    doubtful = [v for v in vetoed if not any(_shared(v, k) for k in kept)]
+    known = set().union(*doubtful) if doubtful else set()
+    quoted = np.isin(g.ids, np.fromiter(known, np.int64, len(known)))
+    return usable, (common | (np.add.reduceat(quoted.astype(np.float32), g.starts) / np.diff(bounds) >= 0.8))[at:]
+
+
+def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (4, 10, 14)) -> Model:
     """``labels``: (text, category); ``unlabelled``: texts."""
-    texts = [(sentences_of(t), c) for t, c in labels if t and c in CATEGORIES]
-    texts = [(s, c) for s, c in texts if s]
-    pool = [s for t in unlabelled if t for s in sentences_of(t)]
+    texts = [(s, c) for t, c in labels if t and c in CATEGORIES and (s := sentences_of(t))]
+    clean = [s for t, c in labels if t and c == "clean" for s in sentences_of(t)]
+    pool = [s for t in unlabelled if t for s in sentences_of(t)] + clean
     if not texts or not pool:
         return Model(np.zeros((1 << BITS, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), -20, np.float32))
     flat = [s for own, _ in texts for s in own]
     owner = np.repeat(np.arange(len(texts)), [len(own) for own, _ in texts])
-    category = np.array([CATEGORIES.index(c) for _, c in texts])
+    wanted = np.array([CATEGORIES.index(c) for _, c in texts])[owner]
+    usable, ordinary = examples(flat, owner, wanted, clean, pool)
     g = grams(flat + pool, ORDERS, BITS)
     u = np.arange(len(flat), len(flat) + len(pool))
     share = np.full(len(CATEGORIES), prior)
-    mine, wanted = np.arange(len(flat)), category[owner]
+    mine = np.arange(len(flat))
 
     def by_category(chosen: np.ndarray) -> list[np.ndarray]:
         return [chosen[wanted[chosen] == c] for c in range(len(CATEGORIES))]
 
-    def score(table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        return raw(table, bias, Grams(*_take(g, mine)[:2]))[mine, wanted]
-
-    def tops(scores: np.ndarray) -> np.ndarray:
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, owner, scores)
-        return scores == top[owner]
-
-    chosen = tops(score(*nn_pu(g, by_category(mine), u, share, epochs[0])))
-    # Each half is judged by a fit on the other: what an example was labelled for occurs elsewhere too.
-    half = (np.arange(len(texts)) % 2)[owner]
-    judged = np.empty(len(flat))
-    for h in (0, 1):
-        fold = score(*nn_pu(g, by_category(np.flatnonzero(chosen & (half != h))), u, share, epochs[1]))
-        judged[half == h] = fold[half == h]
-    chosen = np.flatnonzero(tops(judged) & (judged > DOUBTFUL))
-    positive = by_category(chosen)
-    table, bias = nn_pu(g, positive, u, share, epochs[2])
+    # Of the sentences of a text the one that scores highest is what the label is about.
+    score = raw(*nn_pu(g, by_category(np.flatnonzero(usable)), u, share, epochs[0]), Grams(*_take(g, mine)[:2]))[mine, wanted]
+    top = np.full(len(texts), -np.inf)
+    np.maximum.at(top, owner[usable], score[usable])
+    positive = by_category(np.flatnonzero(usable & (score == top[owner])))
+    table, bias = nn_pu(g, positive, u, share, epochs[1])
     # Unlabelled sentences that are surely positive join the examples, so that what varies in them is learned too.
     p = sigmoid(raw(table, bias, Grams(*_take(g, u)[:2])))
     kind = p.argmax(axis=1)
-    positive = [np.concatenate([rows, u[(kind == c) & (p[:, c] > SURE)]]) for c, rows in enumerate(positive)]
-    table, bias = nn_pu(g, positive, u, share, epochs[3])
+    positive = [np.concatenate([rows, u[(kind == c) & (p[:, c] > SURE) & ~ordinary]]) for c, rows in enumerate(positive)]
+    table, bias = nn_pu(g, positive, u, share, epochs[2])
     return Model(table, bias)
 
 
