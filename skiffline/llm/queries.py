@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiffline.llm import langid, pii, sentences, toxicity
-from skiffline.session import table
+from skiffline.llm import langid, mixing, packing, pii, sentences, tokens, toxicity
+from skiffline.session import Scratch, table
 
 
 def personal_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Model]:
@@ -67,6 +67,38 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(text_scores(spark, sf_dir))
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.sizes(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+    return packing.pack(sizes.withColumnRenamed("n_tokens", "size"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which piece of which document lies in which container."""
+    return packed_documents(spark, sf_dir)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and share of space used, per capacity."""
+    return packing.fill_report(packed_documents(spark, sf_dir))
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = tokens.sizes(docs, F.col("doc_id"), F.col("text"), source=F.col("source"), letters=mixing.letter_share(F.coalesce("text", F.lit(""))))
+    sized = sizes.select("id", "source", F.col("n_tokens").alias("size"), mixing.quality(F.col("n_tokens"), F.col("letters")).alias("weight"))
+    return mixing.select(Scratch(spark, "mixing").write(sized)[0], table(spark, sf_dir, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    return mixed_documents(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares."""
+    return mixing.shares(mixed_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("lang"))
 
@@ -81,5 +113,5 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sentences(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg(n), 3).alias("mean_chars"), F.max(n).alias("max_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_parts, p7_found, p7_scores, p7_rates, p10_found, p10_lengths)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_parts, p7_found, p7_scores, p7_rates, p8_bins, p8_fill, p9_selection, p9_shares, p10_found, p10_lengths)}
 SQL: dict[str, str] = {}
