@@ -28,7 +28,9 @@ def tag_is(tag: Column, *names: str) -> Column:
 
 
 def entity_uri(kind: str, *ids: Column) -> Column:
-    return F.concat(F.lit(f"{SCHEME}:{kind}:"), F.concat_ws("/", *[i.cast("string") for i in ids]))
+    """``tg:<kind>:<id>``, NULL without an id."""
+    parts = [p for i in ids for p in (F.lit("/"), i.cast("string"))][1:]
+    return F.concat(F.lit(f"{SCHEME}:{kind}:"), *parts)
 
 
 def parsed_uri(uri: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPOCH = r"^[+-]?\d{1,12}$"
+DATED = r"^\d{4}-\d{2}-\d{2}"
 COMPACT = r"^\d{14}$"
 HAS_OFFSET = r"(?i)(z|[+-]\d{2}:?\d{2}|[+-]\d{2})$"
 TIME_PART = r"\d[T ]\d{2}:\d{2}"
@@ -25,7 +26,7 @@ def instant_micros(text: Column) -> Column:
     return (
         F.when(t.rlike(EPOCH), t.try_cast("bigint") * F.lit(1_000_000))
         .when(t.rlike(COMPACT), F.unix_micros(compact.try_cast("timestamp")))
-        .otherwise(F.unix_micros(zoned.try_cast("timestamp")))
+        .when(t.rlike(DATED), F.unix_micros(zoned.try_cast("timestamp")))
     )
 
 
