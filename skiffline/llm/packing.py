@@ -81,7 +81,7 @@ _PASS = "pack_name string, capacity int, done boolean, shard bigint, bin_no int,
 
 
 def _pack_shard(final: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         name, capacity, shard = key[0], int(key[1]), int(key[2])
         out, number = [], 0
         packer = BoundedBestFit(capacity)

@@ -42,7 +42,7 @@ PRIOR = 0.02  #: class prior: the share of a category among unlabelled sentences
 COMMON = 0.0015  #: a five-gram in this share of unlabelled sentences is common
 ALIKE = 0.8  #: share of five-grams that two sentences of one pattern have in common
 SURE = 0.5  #: an unlabelled sentence above this joins the examples
-THRESHOLD = 0.33
+THRESHOLD = 0.42
 
 # Letters of another script that look like a Latin one, and the way back.
 _LOOKALIKE = dict(zip("асеорхуіѕјԁкмтвн", "aceopxyisjdkmtbh"))
@@ -51,7 +51,7 @@ _TO_CYRILLIC = str.maketrans({v: k for k, v in _LOOKALIKE.items() if k in "ас
 _SPLIT = re.compile(r"(?<=[.!?…。！？؟।])[\"”»“’)\]]*\s+|(?<=[。！？।])|\s*\n[\s\-]*|\s[|/—]\s")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .\-_*·][^\W\d_]){2,}(?![^\W\d_])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
-_OTHER = re.compile(r"(?:https?://\S+)|[@#]\w+|[^\w*]+|\d+")
+_OTHER = re.compile(r"(?:https?://\S+|[@#]\w*|[^\w*@#]|\d)+")
 _MIXED = re.compile(r"\w*(?:[a-z][а-џԁ-ԛ]|[а-џԁ-ԛ][a-z])\w*")
 
 
@@ -96,9 +96,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _norm(n: np.ndarray) -> np.ndarray:
+    """What a sum over n n-grams is divided by: their root, for very long sentences in proportion to n."""
+    return np.maximum(np.sqrt(n), n / 20).astype(np.float32)
+
+
 def raw(table: np.ndarray, bias: np.ndarray, g: Grams) -> np.ndarray:
-    n = np.diff(np.append(g.starts, len(g.ids)))[:, None]
-    return summed(table, g) / np.sqrt(n) + bias
+    return summed(table, g) / _norm(np.diff(np.append(g.starts, len(g.ids))))[:, None] + bias
 
 
 def _take(g: Grams, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +130,7 @@ def nn_pu(g: Grams, positive: list[np.ndarray], unlabelled: np.ndarray, prior: n
             u = order[i : i + batch]
             rows = np.concatenate([members, u])
             ids, starts, ln = _take(g, rows)
-            scale = (1 / np.sqrt(ln)).astype(np.float32)
+            scale = 1 / _norm(ln)
             p = sigmoid(np.add.reduceat(table[ids], starts, axis=0) * scale[:, None] + bias)
             pp, pu = p[: len(members)], p[len(members) :]
             minus = -np.log(np.maximum(1 - p, 1e-9))
@@ -182,7 +186,7 @@ def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list
     return usable, (common | (np.add.reduceat(quoted.astype(np.float32), g.starts) / np.diff(bounds) >= 0.8))[at:]
 
 
-def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (4, 10, 14)) -> Model:
+def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (4, 8, 8, 8, 12)) -> Model:
     """``labels``: (text, category); ``unlabelled``: texts."""
     texts = [(s, c) for t, c in labels if t and c in CATEGORIES and (s := sentences_of(t))]
     clean = [s for t, c in labels if t and c == "clean" for s in sentences_of(t)]
@@ -205,13 +209,14 @@ def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRI
     score = raw(*nn_pu(g, by_category(np.flatnonzero(usable)), u, share, epochs[0]), Grams(*_take(g, mine)[:2]))[mine, wanted]
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, owner[usable], score[usable])
-    positive = by_category(np.flatnonzero(usable & (score == top[owner])))
-    table, bias = nn_pu(g, positive, u, share, epochs[1])
-    # Unlabelled sentences that are surely positive join the examples, so that what varies in them is learned too.
-    p = sigmoid(raw(table, bias, Grams(*_take(g, u)[:2])))
-    kind = p.argmax(axis=1)
-    positive = [np.concatenate([rows, u[(kind == c) & (p[:, c] > SURE) & ~ordinary]]) for c, rows in enumerate(positive)]
-    table, bias = nn_pu(g, positive, u, share, epochs[2])
+    given = by_category(np.flatnonzero(usable & (score == top[owner])))
+    positive = given
+    for n in epochs[1:]:
+        table, bias = nn_pu(g, positive, u, share, n)
+        # Unlabelled sentences that are surely positive join the examples, so that what varies in them is learned too.
+        p = sigmoid(raw(table, bias, Grams(*_take(g, u)[:2])))
+        kind = p.argmax(axis=1)
+        positive = [np.concatenate([rows, u[(kind == c) & (p[:, c] > SURE) & ~ordinary]]) for c, rows in enumerate(given)]
     return Model(table, bias)
 
 
