@@ -59,7 +59,7 @@ def budgets(docs: DataFrame, targets: DataFrame, total: int | None = None) -> Da
     have = docs.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n_docs"))
     wanted = targets.select("mix_name", source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats")).where("target_share > 0 and max_repeats > 0 and source is not null")
     per_mix = Window.partitionBy("mix_name")  # a few rows a mix
-    rows = wanted.join(F.broadcast(have), "source")  # one row a source: as many as there are names of sources
+    rows = have.join(F.broadcast(wanted), "source")  # the targets: a few rows a mix, by the statement of the problem
     rows = rows.withColumn("share", F.col("target_share") / F.sum("target_share").over(per_mix))
     largest = F.min(F.col("tokens") * F.col("max_repeats") / F.col("share")).over(per_mix)
     rows = rows.withColumn("mix_tokens", F.floor(largest if total is None else F.least(largest, F.lit(float(total)))))
