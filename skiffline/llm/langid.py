@@ -32,10 +32,10 @@ CODES = {
     "ara": "ar", "deu": "de", "ger": "de", "eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "hin": "hi", "ind": "id", "in": "id", "ita": "it", "jpn": "ja",
     "nld": "nl", "dut": "nl", "pol": "pl", "por": "pt", "rus": "ru", "tha": "th", "tur": "tr", "ukr": "uk", "zho": "zh", "chi": "zh", "cmn": "zh",
 }
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3, 4)
 BITS = 16
 SAMPLE_ROWS = 20_000  #: labelled rows the classifier is fitted on, at most about this many
-RARE = 12  #: n-grams of fewer sentences are left out
+RARE = 6  #: n-grams of fewer sentences are left out
 SWITCH = 2.5  #: nats that a change of language between sentences costs
 
 _NOISE = re.compile(
