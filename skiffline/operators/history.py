@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skiffline.session import Scratch
+
 DAY = 86_400_000_000
 FANOUT = 64  #: buckets in a group
 BUCKETS = 4096
@@ -67,12 +69,14 @@ def differing_leaves(leaf: DataFrame) -> DataFrame:
 
 def versions(obs: DataFrame) -> DataFrame:
     """k, attribute, value, from_id, from_at, next_id (0 for the last), next_at (NULL for the last)."""
-    changed = differing_leaves(leaves(obs)).select("attribute", "bucket", "k", "period", "enter")
+    scratch = Scratch(obs.sparkSession, "history")
+    leaf, _ = scratch.write(leaves(obs))
+    changed = differing_leaves(leaf).select("attribute", "bucket", "k", "period", "enter")
     rows = obs.join(changed, ["attribute", "bucket", "k", "period"])
     inside = Window.partitionBy("attribute", "bucket", "k", "period").orderBy("at", "id")
     rows = rows.withColumn("prior", F.when(F.row_number().over(inside) == 1, F.col("enter")).otherwise(F.lag("value").over(inside)))
     new = rows.where(~F.col("value").eqNullSafe(F.col("prior")))
-    new = new.withColumn("next", F.lead(F.struct("at", "id")).over(inside))
+    new, _ = scratch.write(new.withColumn("next", F.lead(F.struct("at", "id")).over(inside)).drop("prior", "enter"))
     firsts = new.groupBy("attribute", "bucket", "k", "period").agg(F.min(F.struct("at", "id")).alias("first"))
     after = firsts.withColumn("later", F.lead("first").over(Window.partitionBy("attribute", "bucket", "k").orderBy("period"))).drop("first")
     done = new.join(after, ["attribute", "bucket", "k", "period"]).withColumn("next", F.coalesce("next", "later"))

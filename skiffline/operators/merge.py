@@ -1,14 +1,16 @@
 """Current state and history from observations: keyed reductions, revisions, ranges, gaps.
 
 Reductions are partial aggregates (``max_by``/``min_by`` over structs), so a key that holds
-most rows reaches the shuffle as one row a task.  ``order`` is the order of arrival.
+most rows reaches the shuffle as one row a task.  What compares neighbours runs in blocks of
+the order (``split``).  ``order`` is the order of arrival.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from skiffline.operators import split
 
 
 def last_state(obs: DataFrame, keys: list[str], order: list[str], first: list[str] | None = None) -> DataFrame:
@@ -51,50 +53,55 @@ def first_owner(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def dispositions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Each media row's fate: ``skipped_kind`` without a content key, ``downloaded`` for the first of its key, else ``duplicates``."""
-    own = Window.partitionBy(*keys).orderBy(*order)
     keyed, bare = rows.where(F.col(keys[-1]).isNotNull()), rows.where(F.col(keys[-1]).isNull())
-    return keyed.withColumn("disposition", F.when(F.row_number().over(own) == 1, "downloaded").otherwise("duplicates")).unionByName(bare.withColumn("disposition", F.lit("skipped_kind")))
+    first = keyed.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    marked = keyed.join(first, keys).withColumn("disposition", F.when(F.struct(*order) == F.col("_first"), "downloaded").otherwise("duplicates")).drop("_first")
+    return marked.unionByName(bare.withColumn("disposition", F.lit("skipped_kind")))
 
 
-def revisions(obs: DataFrame, key: str, digest: str, order: list[str]) -> DataFrame:
-    """Observations whose digest differs from the one before; the first of a key is one too."""
-    before = F.lag(digest).over(Window.partitionBy(key).orderBy(*order))
-    return obs.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(digest))).drop("_b")
+def revisions(obs: DataFrame, key: str, digest: str, order: str) -> DataFrame:
+    """Observations whose digest differs from the one before; the first of a key is one too.  ``order``: the number of arrival."""
+    rows = split.neighbour(obs, [key], [order], digest, split.id_block(F.col(order)), "_before")
+    return rows.where(~F.col("_before").eqNullSafe(F.col(digest))).drop("_before")
 
 
-def deltas(series: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
-    """Each observation's change against the one before."""
-    run = Window.partitionBy(key).orderBy(*order)
-    return series.select("*", *[(F.col(v) - F.lag(v).over(run)).alias(f"{v}_delta") for v in values])
+def deltas(series: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
+    """Each observation's change against the one before (at: microseconds)."""
+    rows = split.neighbour(series, [key], [at, tie], value, split.time_block(F.col(at)), "_before")
+    return rows.withColumn(f"{value}_delta", F.col(value) - F.col("_before")).drop("_before")
 
 
 def coalesced_ranges(ranges: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Inclusive ranges of a key merged where they overlap or touch."""
-    run = Window.partitionBy(key).orderBy(lo, hi)
-    reach = F.max(hi).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    rows = ranges.where(F.col(lo) <= F.col(hi)).withColumn("_new", (reach.isNull() | (F.col(lo) > reach + 1)).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(run))
+    block = split.id_block(F.col(lo))
+    rows = ranges.where(F.col(lo) <= F.col(hi)).select(key, lo, hi).distinct()
+    rows = split.greatest_before(rows, [key], [lo, hi], hi, block, "_reach")
+    rows = rows.withColumn("_new", (F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + 1)).cast("int"))
+    rows = split.running_sum(rows, [key], [lo, hi], "_new", block, "_island")
     return rows.groupBy(key, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
 
 
 def gaps(ids: DataFrame, key: str, value: str) -> DataFrame:
     """The ranges between consecutive ids of a key that no row has: key, lo, hi.  No id is generated for that."""
-    run = Window.partitionBy(key).orderBy(value)
-    rows = ids.select(key, value).distinct().withColumn("_next", F.lead(value).over(run))
+    rows = split.neighbour(ids.select(key, value).distinct(), [key], [value], value, split.id_block(F.col(value)), "_next", after=True)
     return rows.where(F.col("_next") > F.col(value) + 1).select(key, (F.col(value) + 1).alias("lo"), (F.col("_next") - 1).alias("hi"))
 
 
+def chunks(ids: DataFrame, key: str, value: str, size: int = 200) -> DataFrame:
+    """Distinct ids of a key numbered into chunks of a size."""
+    rows = ids.select(key, value).distinct().withColumn("_one", F.lit(1))
+    rows = split.running_sum(rows, [key], [value], "_one", split.id_block(F.col(value)), "_rank")
+    return rows.withColumn("chunk", F.floor((F.col("_rank") - 1) / F.lit(size))).drop("_one", "_rank")
+
+
 def uncovered(spans: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """The parts of each key's span (lo, hi) that its ranges leave open."""
-    merged = coalesced_ranges(ranges, key).select(F.col(key).alias("_k"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
-    hits = spans.join(merged, (F.col(key) == F.col("_k")) & (F.col("r_hi") >= F.col("lo")) & (F.col("r_lo") <= F.col("hi")), "left")
-    run = Window.partitionBy(key, "lo", "hi").orderBy("r_lo")
-    before = F.coalesce(F.lag("r_hi").over(run) + 1, F.col("lo"))
-    rows = hits.select(key, "lo", "hi", "r_lo", "r_hi", before.alias("a"), F.lead("r_lo").over(run).isNull().alias("is_last"))
-    inner = rows.where(F.col("r_lo") > F.col("a")).select(key, F.col("a").alias("lo_open"), (F.col("r_lo") - 1).alias("hi_open"))
-    tail_from = F.coalesce(F.col("r_hi") + 1, F.col("lo"))
-    tail = rows.where(F.col("is_last") & (tail_from <= F.col("hi"))).select(key, tail_from.alias("lo_open"), F.col("hi").alias("hi_open"))
-    return inner.unionByName(tail).select(key, F.col("lo_open").alias("lo"), F.col("hi_open").alias("hi"))
+    """The parts of each key's span (lo, hi; one a key) that its ranges leave open: the gaps between the merged ranges, and what lies before and after them."""
+    merged = coalesced_ranges(ranges, key)
+    span = spans.select(F.col(key).alias("_k"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
+    clipped = merged.join(span, F.col(key) == F.col("_k")).where("hi >= s_lo and lo <= s_hi").select(key, F.greatest("lo", "s_lo").alias("lo"), F.least("hi", "s_hi").alias("hi"))
+    walls = span.select(F.col("_k").alias(key), F.explode(F.array(F.struct((F.col("s_lo") - 1).alias("lo"), (F.col("s_lo") - 1).alias("hi")), F.struct((F.col("s_hi") + 1).alias("lo"), (F.col("s_hi") + 1).alias("hi")))).alias("w")).select(key, "w.*")
+    rows = split.neighbour(clipped.unionByName(walls), [key], ["lo"], "lo", split.id_block(F.col("lo")), "_next", after=True)
+    return rows.where(F.col("_next") > F.col("hi") + 1).select(key, (F.col("hi") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"))
 
 
 def expanded(ranges: DataFrame, key: str, value: str) -> DataFrame:
@@ -102,11 +109,11 @@ def expanded(ranges: DataFrame, key: str, value: str) -> DataFrame:
     return ranges.where("lo <= hi").select(key, F.explode(F.sequence("lo", "hi")).alias(value))
 
 
-def collapsed(captures: DataFrame, key: list[str], digest: str, order: list[str], ok: Column | None = None) -> DataFrame:
-    """Captures whose digest differs from the capture before of the same key."""
+def collapsed(captures: DataFrame, keys: list[str], digest: str, at: str, tie: str, ok: Column | None = None) -> DataFrame:
+    """Captures whose digest differs from the capture before of the same keys (at: microseconds)."""
     rows = captures if ok is None else captures.where(ok)
-    before = F.lag(digest).over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(digest))).drop("_b")
+    rows = split.neighbour(rows, keys, [at, tie], digest, split.time_block(F.col(at)), "_before")
+    return rows.where(F.col("_before").isNull() | (F.col("_before") != F.col(digest))).drop("_before")
 
 
 def nested_revisions(messages: DataFrame, revisions_: DataFrame, own_uri: str | None = None) -> DataFrame:

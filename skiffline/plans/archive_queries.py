@@ -11,11 +11,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skiffline.functions import archive as fn
 from skiffline.functions.instants import instant_micros, instant_sql
-from skiffline.operators import merge, operations, projections, search, web
+from skiffline.operators import merge, operations, projections, search, split, web
 from skiffline.session import scratch_root, table
 from skiffline.sources import tables
 from skiffline.streaming import feed
@@ -270,13 +269,13 @@ def media_dispositions(spark, sf_dir):
 @query("""with r as (select seq, uri, content_hash, lag(content_hash) over (partition by uri order by seq) as b from messages) select seq, uri, content_hash from r where b is null or b <> content_hash""")
 def revision_log(spark, sf_dir):
     """Observations that changed a message."""
-    return merge.revisions(messages(spark, sf_dir).select("seq", "uri", "content_hash"), "uri", "content_hash", ["seq"])
+    return merge.revisions(messages(spark, sf_dir).select("seq", "uri", "content_hash"), "uri", "content_hash", "seq")
 
 
 @query("""with r as (select uri, content_hash, lag(content_hash) over (partition by uri order by seq) as b from messages) select uri, count(*) as n_revisions from r where b is null or b <> content_hash group by 1""")
 def revision_counts(spark, sf_dir):
     """Revisions per message."""
-    return merge.revisions(messages(spark, sf_dir).select("seq", "uri", "content_hash"), "uri", "content_hash", ["seq"]).groupBy("uri").agg(F.count("*").alias("n_revisions"))
+    return merge.revisions(messages(spark, sf_dir).select("seq", "uri", "content_hash"), "uri", "content_hash", "seq").groupBy("uri").agg(F.count("*").alias("n_revisions"))
 
 
 @query(f"""with s as (select id, channel_id, participants_count, {instant_sql("observed_at")} as at_us from channel_snapshots)
@@ -284,7 +283,7 @@ select id, channel_id, participants_count, participants_count - lag(participants
 def snapshot_deltas(spark, sf_dir):
     """Change of each snapshot against the one before."""
     s = table(spark, sf_dir, "channel_snapshots").select("id", "channel_id", "participants_count", instant_micros(F.col("observed_at")).alias("at"))
-    return merge.deltas(s, "channel_id", ["at", "id"], ["participants_count"]).drop("at")
+    return merge.deltas(s, "channel_id", "at", "id", "participants_count").drop("at")
 
 
 # --- ranges and gaps -------------------------------------------------------------------
@@ -327,9 +326,7 @@ def sweep_bounds(spark, sf_dir):
 @query("""with g as (select distinct channel_id, msg_id from messages), r as (select *, row_number() over (partition by channel_id order by msg_id) as rn from g) select channel_id, cast(floor((rn - 1) / 200) as bigint) as chunk, count(*) as n, min(msg_id) as first_id from r group by 1, 2""")
 def id_chunks(spark, sf_dir):
     """Ids dealt into chunks of 200."""
-    rows = messages(spark, sf_dir).select("channel_id", "msg_id").distinct()
-    rn = F.row_number().over(Window.partitionBy("channel_id").orderBy("msg_id"))
-    return rows.withColumn("chunk", F.floor((rn - 1) / 200)).groupBy("channel_id", "chunk").agg(F.count("*").alias("n"), F.min("msg_id").alias("first_id"))
+    return merge.chunks(messages(spark, sf_dir), "channel_id", "msg_id").groupBy("channel_id", "chunk").agg(F.count("*").alias("n"), F.min("msg_id").alias("first_id"))
 
 
 # --- joins -----------------------------------------------------------------------------
@@ -441,7 +438,7 @@ select id, url, content_hash from w where b is null or b <> content_hash""")
 def archive_collapse(spark, sf_dir):
     """Captures that differ from the capture before of the same post."""
     w = table(spark, sf_dir, "web_snapshots").withColumn("at", instant_micros(F.col("fetched_at")))
-    return merge.collapsed(w, ["channel_username", "msg_id"], "content_hash", ["at", "id"], F.col("content_hash").isNotNull()).select("id", "url", "content_hash")
+    return merge.collapsed(w, ["channel_username", "msg_id"], "content_hash", "at", "id", F.col("content_hash").isNotNull()).select("id", "url", "content_hash")
 
 
 @query("""with e as (select uri, seq, unnest(cast(entities_json as json[])) as e from messages where entities_json is not null), u as (select uri, seq, json_extract_string(e, '$.url') as url from e where lower(json_extract_string(e, '$._')) = 'messageentitytexturl')
@@ -626,9 +623,10 @@ def error_dispositions(spark, sf_dir):
 @query("""with e as (select event_id, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by event_type order by ts, event_id) as b from events) select event_id, round(greatest(0.0, 300.0 - coalesce((us - b) / 1000000.0, 300.0)), 3) as wait from e""")
 def pacing(spark, sf_dir):
     """F16: seconds to wait before each call, by the call before of the same kind."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    since = (us - F.lag(us).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))) / F.lit(1_000_000.0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(fn.pause(F.lit(300.0), since), 3).alias("wait"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = split.neighbour(e, ["event_type"], ["us", "event_id"], "us", split.time_block(F.col("us")), "before")
+    since = (F.col("us") - F.col("before")) / F.lit(1_000_000.0)
+    return rows.select("event_id", F.round(fn.pause(F.lit(300.0), since), 3).alias("wait"))
 
 
 # --- streaming ----------------------------------------------------------------------------------

@@ -49,6 +49,11 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.preorder(message_trees(spark, sf_dir)).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("root").alias("root_msg_id"), F.col("pos"), (F.col("size") - 1).alias("n_descendants"))
 
 
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages hang below each reply, from the subtree sizes of the decomposition."""
+    return message_trees(spark, sf_dir).where("size > 0").select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), (F.col("size") - 1).alias("n_descendants"))
+
+
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root paths as chain segments: the depths covered add up to the whole path."""
     return hierarchy.segments(message_trees(spark, sf_dir)).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("chain").alias("chain_msg_id"), "from_depth", "to_depth")
@@ -82,7 +87,7 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel_versions(spark, sf_dir).select(F.col("k").alias("channel_id"), "attribute", "value", F.col("from_at").alias("valid_from"), F.col("next_at").alias("valid_to"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_entities, p2_found, p2_descendants, p2_paths, p5_found, p5_watermarks, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_entities, p2_found, p2_sizes, p2_descendants, p2_paths, p5_found, p5_watermarks, p6_found, p6_periods)}
 
 _OPENED = "case when json_valid(x) then case when json_type(x) = 'VARCHAR' then case when json_valid(json_extract_string(x, '$')) then json_extract_string(x, '$') end else x end end"
 _OBJECTS = f"""with cells as (
@@ -114,6 +119,10 @@ SQL = {
     + """select row_id, path, json_extract_string(node, '$._') as entity, cast(json_extract_string(node, '$.offset') as bigint) as "offset", cast(json_extract_string(node, '$.length') as bigint) as length,
 json_extract_string(node, '$.url') as url, cast(json_extract_string(node, '$.user_id') as bigint) as user_id from found where field = 'messages.entities_json' and regexp_matches(path, '^(\\[[0-9]+\\])+$')""",
     "p2_found": _TREE + "select m.c as channel_id, m.v as msg_id, coalesce(walk.root, 0) as root_msg_id, coalesce(walk.depth, -1) as depth from m left join walk on m.c = walk.c and m.v = walk.v where m.p is not null",
+    "p2_sizes": _TREE
+    + """, up as (select w.c, w.v, w.p as a from walk w where w.depth > 0 union all select up.c, up.v, w.p from up join walk w on w.c = up.c and w.v = up.a where w.depth > 0),
+below as (select c, a, count(*) as n from up group by 1, 2)
+select w.c as channel_id, w.v as msg_id, coalesce(b.n, 0) as n_descendants from walk w left join below b on b.c = w.c and b.a = w.v where w.depth > 0""",
     "p5_found": f"""with changes as (
   select channel_id, msg_id, {instant_sql("coalesce(edit_date, date)")} as at_us, 0 as op, {instant_sql("last_seen")} as ls, seq, content_hash from messages
   union all select {_URI}, {instant_sql("observed_at")}, 1, 0, 0, null from message_tombstones where evidence in ('update', 'empty')),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skiffline.functions import archive as fn
-from skiffline.operators import merge, operations, projections, search, web
+from skiffline.operators import merge, operations, projections, search, split, web
 from skiffline.sources import tables
 from skiffline.streaming import feed
 
@@ -155,7 +155,26 @@ def test_merges_against_fold(spark):
         prior[k] = h
     state = merge.last_state(df.withColumn("o", F.col("seq")), ["k"], ["o"], first=["first_seen"])
     assert {r.k: (r.h, r.first_seen) for r in state.collect()} == {k: (last[k], first[k]) for k in last}
-    assert sorted(r.seq for r in merge.revisions(df, "k", "h", ["seq"]).collect()) == revised
+    assert sorted(r.seq for r in merge.revisions(df, "k", "h", "seq").collect()) == revised
+
+
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+def test_split_windows_against_whole_ones(spark, monkeypatch, width):
+    from pyspark.sql.window import Window
+
+    monkeypatch.setattr(split, "WIDTH", width)
+    rng = random.Random(width)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, 1, 2, 3])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, o bigint, v int")
+    whole = Window.partitionBy("k").orderBy("o")
+    b = split.id_block(F.col("o"))
+    df = split.neighbour(df, ["k"], ["o"], "v", b, "p")
+    df = split.neighbour(df, ["k"], ["o"], "v", b, "n", after=True)
+    df = split.greatest_before(df, ["k"], ["o"], "v", b, "g")
+    df = split.running_sum(df, ["k"], ["o"], "o", b, "s")
+    want = df.withColumns({"p2": F.lag("v").over(whole), "n2": F.lead("v").over(whole), "g2": F.max("v").over(whole.rowsBetween(Window.unboundedPreceding, -1)), "s2": F.sum("o").over(whole)})
+    got = want.collect()
+    assert len(got) == 120 and all((r.p, r.n, r.g, r.s) == (r.p2, r.n2, r.g2, r.s2) for r in got)
 
 
 def test_min_peer_rule(spark):
@@ -228,7 +247,7 @@ def test_archive_index(spark):
     rows = web.index_captures(web.index_rows(df, F.col("i"), F.col("b"))).collect()
     assert [(r.url, r.timestamp) for r in sorted(rows, key=lambda r: r.pos)] == [("u1", "2019-01-01T02:30:00+00:00"), ("u2", "nonsense")]
     caps = spark.createDataFrame([(1, "a", "D1"), (2, "a", "D1"), (3, "a", "D2"), (4, "a", "D1")], "t int, k string, d string")
-    assert sorted(r.t for r in merge.collapsed(caps, ["k"], "d", ["t"]).collect()) == [1, 3, 4]
+    assert sorted(r.t for r in merge.collapsed(caps.withColumn("i", F.col("t")), ["k"], "d", "t", "i").collect()) == [1, 3, 4]
 
 
 def test_search_like_fts(spark):
