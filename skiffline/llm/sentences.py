@@ -30,11 +30,11 @@ from skiffline.llm.langid import normal_label
 from skiffline.session import Scratch
 
 END = ".!?…。！？؟।۔"
-_CLOSERS = "\"”’»“)\\]）」』"
+_CLOSERS = "\"”’»“)\\]）」』》〉】"
 EMOJI = "[\U0001F000-\U0001FAFF☀-➿⬀-⯿️‍]"
 _TRAIL = re.compile(rf"[{re.escape(END)}{_CLOSERS}]*(?:\s?(?:{EMOJI})+)*")
 _TRAIL_LINE = re.compile(rf"[{re.escape(END)}{_CLOSERS}]*(?:[^\S\n]*\n?[^\S\n]*(?:{EMOJI})+)*")
-_SPAN = r"„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|\([^()]*\)|（[^（）]*）|(?<![^\s(\[.!?…])\"(?=[^\s\"])[^\"]*\"|(?<=[.!?…])\"[^\s\"][^\"]*\""
+_SPAN = r"„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|《[^《》]*》|〈[^〈〉]*〉|【[^【】]*】|\([^()]*\)|（[^（）]*）|(?<![^\s(\[.!?…])\"(?=[^\s\"])[^\"]*\"|(?<=[.!?…])\"[^\s\"][^\"]*\""
 _THAI = "฀-๿"
 _SCAN = re.compile(rf"(?P<span>{_SPAN})|(?P<mark>[{re.escape(END)}]+)|(?P<thai>(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}]))|(?P<latin>(?<=[{_THAI}])[^\S\n]+(?=(?:[A-Za-z][a-z’']*[ ,]+){{3}}))|(?P<list>\n[^\S\n]*(?:[•*‣▪–—-]|\d{{1,3}}[.)]|[a-z]\))[^\S\n]+)")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -71,8 +71,7 @@ def count_document(text: str, label: str | None, out: Counter) -> None:
     """
     code = normal_label(label)
     for par in _PARAGRAPH.split(text):
-        script = script_of(par)
-        groups = (script, code) if code and SCRIPTS.get(code, "latin") == script else (script,)
+        own = script_of(par)
         previous, gap_end = None, 0
         for m in _TOKEN.finditer(par):
             token = m.group()
@@ -83,6 +82,8 @@ def count_document(text: str, label: str | None, out: Counter) -> None:
             first = bare[:1]
             gap = par[gap_end : m.start()]
             listed = period and kind == NUMBER and not gap.rpartition("\n")[2].strip() and ("\n" in gap or previous is None)
+            script = script_of(bare) if first.isalpha() else own
+            groups = (script, code) if code and SCRIPTS.get(code, "latin") == script else (script,)
             for g in groups:
                 if listed:
                     continue
@@ -224,20 +225,17 @@ class Splitter:
     def spans(self, text: str, label: str | None = None) -> list[tuple[int, int]]:
         """(start, end) of every sentence, without white space around it."""
         code = normal_label(label)
-        self_script = SCRIPTS.get(code, "latin")
         out: list[tuple[int, int]] = []
         at = 0
         for m in [*_PARAGRAPH.finditer(text), None]:
             end = m.start() if m else len(text)
             if end > at:
-                script = script_of(text[at : at + 200])
-                self._paragraph(text, at, end, (script, code) if code and script == self_script else (script,), out)
+                self._paragraph(text, at, end, script_of(text[at : at + 200]), code, out)
             at = m.end() if m else end
         return out
 
-    def _paragraph(self, text: str, lo: int, hi: int, groups: tuple[str, ...], out: list) -> None:
+    def _paragraph(self, text: str, lo: int, hi: int, script: str, code: str | None, out: list) -> None:
         par = text[lo:hi]
-        known = self._merged(groups)
         start, size = 0, len(par)
         in_list = _LIST.match(par) is not None
 
@@ -319,20 +317,22 @@ class Splitter:
                         continue
                 if c.islower() or par[e] in ",;:،؛)" or _QUOTING.match(par, tail) and not _LIST.match(par, nxt):
                     continue
-                if mark == "." and not self._ends(par, start, s, word, rest, glued, known):
+                if mark == "." and not self._ends(par, start, s, word, rest, glued, script, code):
                     continue
             add(start, tail)
             start = pos = tail
         add(start, size)
 
-    def _ends(self, par: str, start: int, at: int, word: str, rest, glued: bool, known) -> bool:
+    def _ends(self, par: str, start: int, at: int, word: str, rest, glued: bool, script: str, code: str | None) -> bool:
         """Whether the single period at ``at`` ends a sentence that ``word`` doesn't continue."""
-        abbreviations, starters, collocations, ordinals = known
         m = _LAST.search(par, max(start, at - 40), at)
         if m is None:
             return True
         last = m.group()
         kind = word_type(last)
+        if last[0].isalpha():
+            script = script_of(last)
+        abbreviations, starters, collocations, ordinals = self._merged((script, code) if code and SCRIPTS.get(code, "latin") == script else (script,))
         follow = word_type(word)
         opened = rest.start(1) > rest.start()
         if kind == NUMBER:
