@@ -48,7 +48,7 @@ THRESHOLD = 0.42
 _LOOKALIKE = dict(zip("асеорхуіѕјԁкмтвн", "aceopxyisjdkmtbh"))
 _TO_LATIN = str.maketrans(_LOOKALIKE)
 _TO_CYRILLIC = str.maketrans({v: k for k, v in _LOOKALIKE.items() if k in "асеорхуікмтвн"})
-_SPLIT = re.compile(r"(?<=[.!?…。！？؟।])[\"”»“’)\]]*\s+|(?<=[。！？।])|\s*\n[\s\-]*|\s[|/—]\s")
+_SPLIT = re.compile(r"(?<=[.!?…。！？؟।])[\"”»“’)\]]*\s+|(?<=[。！？।])|\s*\n[\s\-]*|\s[|/]\s|\s—\s(?=[^\W\d_a-zа-яё])")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .\-_*·][^\W\d_]){2,}(?![^\W\d_])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _OTHER = re.compile(r"(?:https?://\S+|[@#]\w*|[^\w*@#]|\d)+")
@@ -176,7 +176,7 @@ def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list
     usable = ~common[: len(flat)]
     for i in np.flatnonzero(usable):
         against = sum(_shared(sets[i], sets[j]) for j in range(len(flat), at))
-        if against and against >= len({int(owner[j]) for j in np.flatnonzero(usable & (wanted == wanted[i])) if j != i and _shared(sets[i], sets[j])}):
+        if against and against >= len({int(owner[j]) for j in np.flatnonzero(~common[: len(flat)] & (wanted == wanted[i])) if _shared(sets[i], sets[j])}):
             usable[i] = False
     vetoed = [sets[j] for j in range(len(flat), at) if not common[j]] + [sets[i] for i in range(len(flat)) if not usable[i] and not common[i]]
     kept = [sets[i] for i in np.flatnonzero(usable)]
