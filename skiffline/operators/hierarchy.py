@@ -93,13 +93,13 @@ def _doubled(scratch: Scratch, edges: DataFrame, sizes: bool) -> tuple[DataFrame
         path, step, open_before = new, step * 2, still
 
 
-def hierarchy(rows: DataFrame, tree: Column, node: Column, parent: Column) -> DataFrame:
-    """One row per node that has a parent value.
+def hierarchy(rows: DataFrame, tree: Column, node: Column, parent: Column, bare: bool = False) -> DataFrame:
+    """One row per node that has a parent value; with ``bare`` also one per node without.
 
     Columns: t, v, p, root (0 on a cycle), depth (-1 on a cycle), chain (head of the
     node's heavy path), chain_parent (the node the chain hangs from, NULL for a root's
     chain), chain_depth (depth of the head), offset (steps below the head), size
-    (nodes of the subtree; NULL for a root, on a cycle 0).
+    (nodes of the subtree, itself included; on a cycle 0).
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "hierarchy")
@@ -113,7 +113,7 @@ def hierarchy(rows: DataFrame, tree: Column, node: Column, parent: Column) -> Da
     cyclic = sized.where("not done").select("t", "v", "p")
 
     # Heavy edges: of the children of a node the one with the largest subtree, the smallest id among equals.
-    best = acyclic.groupBy(F.col("t").alias("h_t"), F.col("p").alias("h_p")).agg((-F.max(F.struct("cnt", (-F.col("v")).alias("m")))["m"]).alias("heavy"))
+    best = acyclic.groupBy(F.col("t").alias("h_t"), F.col("p").alias("h_p")).agg((-F.max(F.struct("cnt", (-F.col("v")).alias("m")))["m"]).alias("heavy"), F.sum("cnt").alias("below"))
     marked = acyclic.join(best, (F.col("t") == F.col("h_t")) & (F.col("p") == F.col("h_p"))).select("t", "v", "p", "cnt", (F.col("v") == F.col("heavy")).alias("is_heavy"))
     marked, _ = scratch.write(marked)
     labels, _ = _doubled(scratch, marked.where("is_heavy").select("t", "v", F.col("p").alias("ptr")), sizes=False)
@@ -139,9 +139,11 @@ def hierarchy(rows: DataFrame, tree: Column, node: Column, parent: Column) -> Da
         F.col("cnt").alias("size"),
     )
     none = F.lit(None).cast("bigint")
-    orphans = ups.join(known, (F.col("t") == F.col("k_t")) & (F.col("p") == F.col("k_v")), "left_anti")
-    roots = orphans.select("t", "v", "p", F.col("v").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.col("v").alias("chain"), none.alias("chain_parent"), F.lit(0).cast("bigint").alias("chain_depth"), F.lit(0).cast("bigint").alias("offset"), none.alias("size"))
     zero = F.lit(0).cast("bigint")
+    orphans = ups.join(known, (F.col("t") == F.col("k_t")) & (F.col("p") == F.col("k_v")), "left_anti")
+    tops = orphans.unionByName(nodes.where("p is null")) if bare else orphans
+    tops = tops.join(best, (F.col("t") == F.col("h_t")) & (F.col("v") == F.col("h_p")), "left")
+    roots = tops.select("t", "v", "p", F.col("v").alias("root"), zero.alias("depth"), F.col("v").alias("chain"), none.alias("chain_parent"), zero.alias("chain_depth"), zero.alias("offset"), (F.coalesce("below", F.lit(0)) + 1).alias("size"))
     loops = cyclic.select("t", "v", "p", zero.alias("root"), F.lit(-1).cast("bigint").alias("depth"), none.alias("chain"), none.alias("chain_parent"), none.alias("chain_depth"), none.alias("offset"), zero.alias("size"))
     return whole.unionByName(roots).unionByName(loops)
 

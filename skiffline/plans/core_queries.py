@@ -36,27 +36,28 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat_table(rows, "[]", "_ string, offset bigint, length bigint, url string, user_id bigint").select("row_id", "path", F.col("_").alias("entity"), "offset", "length", "url", "user_id")
 
 
-def message_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.hierarchy(table(spark, sf_dir, "messages"), F.col("channel_id"), F.col("msg_id"), F.col("reply_to_msg_id"))
+def message_trees(spark: SparkSession, sf_dir: str, bare: bool) -> DataFrame:
+    """The reply trees; ``bare`` adds the messages that reply to none."""
+    return hierarchy.hierarchy(table(spark, sf_dir, "messages"), F.col("channel_id"), F.col("msg_id"), F.col("reply_to_msg_id"), bare)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return message_trees(spark, sf_dir).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("root").alias("root_msg_id"), "depth")
+    return message_trees(spark, sf_dir, bare=False).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("root").alias("root_msg_id"), "depth")
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descendants of each message as an interval of positions under its root."""
-    return hierarchy.preorder(message_trees(spark, sf_dir)).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("root").alias("root_msg_id"), F.col("pos"), (F.col("size") - 1).alias("n_descendants"))
+    """Descendants of each message, roots included, as an interval of positions under its root."""
+    return hierarchy.preorder(message_trees(spark, sf_dir, bare=True)).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("root").alias("root_msg_id"), F.col("pos"), (F.col("size") - 1).alias("n_descendants"))
 
 
 def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many messages hang below each reply, from the subtree sizes of the decomposition."""
-    return message_trees(spark, sf_dir).where("size > 0").select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), (F.col("size") - 1).alias("n_descendants"))
+    """How many messages hang below each reply to a message in the table, from the subtree sizes; ``p2_descendants`` has the roots too."""
+    return message_trees(spark, sf_dir, bare=False).where("depth > 0").select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), (F.col("size") - 1).alias("n_descendants"))
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root paths as chain segments: the depths covered add up to the whole path."""
-    return hierarchy.segments(message_trees(spark, sf_dir)).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("chain").alias("chain_msg_id"), "from_depth", "to_depth")
+    """Root paths of all messages as chain segments: the depths covered add up to the whole path."""
+    return hierarchy.segments(message_trees(spark, sf_dir, bare=True)).select(F.col("t").alias("channel_id"), F.col("v").alias("msg_id"), F.col("chain").alias("chain_msg_id"), "from_depth", "to_depth")
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

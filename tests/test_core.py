@@ -132,6 +132,19 @@ def test_hierarchy_long_chain_star_and_empty(spark):
     assert trees(spark, [(None, None, None)]).count() == 0
 
 
+def test_hierarchy_roots_have_descendants_and_paths(spark):
+    rows = [(1, 1, None), (1, 2, 1), (1, 3, 1), (1, 4, 3), (1, 5, None), (1, 6, 99), (1, 7, 6), (1, 8, 99), (2, 1, 2), (2, 2, 1)]
+    df = spark.createDataFrame(rows, "c bigint, m bigint, p bigint")
+    tree = hierarchy.hierarchy(df, F.col("c"), F.col("m"), F.col("p"), bare=True)
+    ordered = hierarchy.preorder(tree)
+    placed = {(r.t, r.v): (r.root, r.depth, r.size, r.pos) for r in ordered.collect()}
+    assert {v: x for (_, v), x in placed.items() if x[1] == 0} == {1: (1, 0, 4, 0), 5: (5, 0, 1, 0), 6: (6, 0, 2, 0), 8: (8, 0, 1, 0)}
+    assert len(placed) == 8
+    assert {r.v for r in hierarchy.descendants(ordered, 1, 1).collect()} == {2, 3, 4}
+    assert {r.v for r in hierarchy.descendants(ordered, 1, 6).collect()} == {7}
+    assert {(s.v, s.chain, s.from_depth, s.to_depth) for s in hierarchy.segments(tree).collect() if s.v in (1, 5, 6)} == {(v, v, 0, 0) for v in (1, 5, 6)}
+
+
 def test_split_prefix_sum_covers_hot_key(spark):
     df = spark.createDataFrame([(1, i, i % 7 + 1) for i in range(500)], "k int, i int, n int")
     rows = hierarchy.split_prefix_sum(df, ["k"], ["i"], "n", "before", spread=8).collect()
