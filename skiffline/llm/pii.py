@@ -14,7 +14,8 @@ array operations, gives the labels.
 Weights are fitted by pseudo-likelihood on a bounded sample (``SAMPLE_TEXTS``) whose labels
 come from unambiguous shapes, cue words and the incomplete list of known names; ambiguous
 candidates are filled in with the model's own beliefs and the fit repeated.  Names missing
-from the list are learned from the sample first: words that stand beside known names.
+from the list are learned first, from counts over all texts: words that stand beside known
+names.
 
 Defined cases: NULL or empty texts have no piece and come out as they are; whole texts are
 read; repeated rows give repeated rows; an empty list of names finds names by none; an
@@ -34,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skiffline.llm.langid import sample
+from skiffline.session import Scratch
 
 LABELS = ["none", "email", "phone", "id_number", "address", "person"]
 NONE, EMAIL, PHONE, ID, ADDRESS, PERSON = range(6)
 ALLOWED = {"email": [NONE, EMAIL], "number": [NONE, PHONE, ID], "code": [NONE, ID], "address": [NONE, ADDRESS], "person": [NONE, PERSON]}
 BITS = 15
-SAMPLE_TEXTS = 20_000  #: texts that weights and names are learned from, at most about this many
+SAMPLE_TEXTS = 20_000  #: texts that weights are learned from, at most about this many
 ROUNDS = 8  #: of message passing
 
 _DIGITS = {chr(z + i): str(i) for z in (0xFF10, 0x0660, 0x06F0, 0x0966, 0x0E50) for i in range(10)}
@@ -365,55 +367,132 @@ def pseudo_likelihood(batch: Batch, y: np.ndarray, weight: np.ndarray, steps: in
     return w, pairs
 
 
+def _folded(text: str) -> str:
+    t = text if text.isascii() else text.translate(FOLD)
+    return _EMAIL.sub(" | ", t) if "@" in t or "(" in t or "[" in t else t
+
+
+def beside(t: str, given: set[str], family: set[str]) -> tuple[set[str], set[str]]:
+    """Words of a folded text that stand where a given and a family name would, beside known names."""
+    g_new: set[str] = set()
+    f_new: set[str] = set()
+    ms = list(_WORD.finditer(t))
+    lows = [m.group().lower() for m in ms]
+    if given.isdisjoint(lows) and family.isdisjoint(lows):
+        return g_new, f_new
+    for i in range(len(ms) - 1):
+        a, b = lows[i], lows[i + 1]
+        if not (a in given or a in family or b in given or b in family):
+            continue
+        gap = t[ms[i].end() : ms[i + 1].start()]
+        if len(a) < 3 or len(b) < 3:
+            if len(b) == 1 and a in given and gap == " " and i + 2 < len(ms) and t[ms[i + 1].end() : ms[i + 2].start()] == ". " and ms[i + 2].group()[0].isupper():
+                f_new.add(lows[i + 2])
+            continue
+        upper_a, upper_b = ms[i].group()[0].isupper(), ms[i + 1].group()[0].isupper()
+        if gap == " ":
+            if b in family and a not in family and upper_a:
+                g_new.add(a)
+            if a in given and b not in given and upper_b:
+                f_new.add(b)
+            if a in family and b not in family and upper_b and a[0] > "z":
+                g_new.add(b)
+            if b in given and a not in given and upper_a and b[0] > "z":
+                f_new.add(a)
+        elif gap == ", " and upper_a and upper_b:
+            if b in given and a not in given:
+                f_new.add(a)
+            if a in family and b not in family:
+                g_new.add(b)
+    return g_new, f_new
+
+
+NAME_TEXTS, NAME_SHARE = 3, 0.3  #: texts in which a word stands beside known names, at least, and their share of all texts with it
+
+
+def widened(given: set[str], family: set[str], counts: list[tuple[str, int, int, int]]) -> tuple[set[str], set[str]]:
+    """The lexicon with the words added whose counts (word, as given, as family, texts with it) pass."""
+    as_given, as_family = {w: g for w, g, _, _ in counts}, {w: f for w, _, f, _ in counts}
+    new_given = {w for w, n, _, seen in counts if n >= NAME_TEXTS and n >= NAME_SHARE * seen and w not in family}
+    new_family = {w for w, _, n, seen in counts if n >= NAME_TEXTS and n >= NAME_SHARE * seen and w not in given}
+    clash = new_given & new_family
+    wide_given = given | {w for w in new_given if w not in clash or as_given[w] >= as_family[w]}
+    return wide_given, family | {w for w in new_family if w not in clash or as_family[w] > as_given[w]}
+
+
+def _closed_lexicon(given: set[str], family: set[str]) -> tuple[set[str], set[str]]:
+    given = given | {p for w in given for p in w.split("-") if len(p) > 2}
+    return given - family, family
+
+
 def learn_names(texts: list[str], given: set[str], family: set[str], rounds: int = 2) -> tuple[set[str], set[str]]:
     """The lexicon with words added that stand beside known names more often than elsewhere."""
     given, family = set(given), set(family)
-    folded = [_EMAIL.sub(" | ", t.translate(FOLD)) for t in texts]
+    folded = [_folded(t) for t in texts]
     seen: Counter = Counter(w for t in folded for w in set(_WORD.findall(t.lower())))
     for _ in range(rounds):
         as_given, as_family = Counter(), Counter()
         for t in folded:
-            ms = list(_WORD.finditer(t))
-            lows = [m.group().lower() for m in ms]
-            if given.isdisjoint(lows) and family.isdisjoint(lows):
-                continue
-            g_new, f_new = set(), set()
-            for i in range(len(ms) - 1):
-                gap = t[ms[i].end() : ms[i + 1].start()]
-                a, b = lows[i], lows[i + 1]
-                if len(a) < 3 or len(b) < 3:
-                    if len(b) == 1 and a in given and gap == " " and i + 2 < len(ms) and t[ms[i + 1].end() : ms[i + 2].start()] == ". " and ms[i + 2].group()[0].isupper():
-                        f_new.add(lows[i + 2])
-                    continue
-                upper_a, upper_b = ms[i].group()[0].isupper(), ms[i + 1].group()[0].isupper()
-                if gap == " ":
-                    if b in family and a not in family and upper_a:
-                        g_new.add(a)
-                    if a in given and b not in given and upper_b:
-                        f_new.add(b)
-                    if a in family and b not in family and upper_b and a[0] > "z":
-                        g_new.add(b)
-                    if b in given and a not in given and upper_a and b[0] > "z":
-                        f_new.add(a)
-                elif gap == ", " and upper_a and upper_b:
-                    if b in given and a not in given:
-                        f_new.add(a)
-                    if a in family and b not in family:
-                        g_new.add(b)
+            g_new, f_new = beside(t, given, family)
             as_given.update(g_new)
             as_family.update(f_new)
-        new_given = {w for w, n in as_given.items() if n >= 3 and n >= 0.3 * seen[w] and w not in family}
-        new_family = {w for w, n in as_family.items() if n >= 3 and n >= 0.3 * seen[w] and w not in given}
-        clash = new_given & new_family
-        given |= {w for w in new_given if w not in clash or as_given[w] >= as_family[w]}
-        family |= {w for w in new_family if w not in clash or as_family[w] > as_given[w]}
-    given |= {p for w in list(given) for p in w.split("-") if len(p) > 2}
-    return given - family, family
+        given, family = widened(given, family, [(w, as_given[w], as_family[w], seen[w]) for w in as_given.keys() | as_family.keys()])
+    return _closed_lexicon(given, family)
+
+
+_COUNTS = pa.schema([("w", pa.string()), ("g", pa.int64()), ("f", pa.int64()), ("n", pa.int64())])
+
+
+def _counted(shared, with_seen: bool, flush: int = 200_000):
+    """Partial counts of a task's texts: words beside known names and, with ``with_seen``, texts with each word."""
 
+    def batch_of(*counters: Counter) -> pa.RecordBatch:
+        words = list(set().union(*counters))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters)], schema=_COUNTS)
 
-def fit(texts: list[str], given: set[str], family: set[str]) -> Model:
+    def run(batches):
+        given, family = shared.value
+        as_given, as_family, seen = Counter(), Counter(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                t = _folded(text)
+                if with_seen:
+                    seen.update(set(_WORD.findall(t.lower())))
+                g_new, f_new = beside(t, given, family)
+                as_given.update(g_new)
+                as_family.update(f_new)
+                if len(seen) + len(as_given) + len(as_family) >= flush:
+                    yield batch_of(as_given, as_family, seen)
+                    as_given, as_family, seen = Counter(), Counter(), Counter()
+        yield batch_of(as_given, as_family, seen)
+
+    return run
+
+
+def learn_names_on(texts: DataFrame, given: set[str], family: set[str], rounds: int = 2) -> tuple[set[str], set[str]]:
+    """``learn_names`` over all rows of a table with one text column: partial counts, summed in Spark; only words that pass come back."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "names")
+    slim = texts.toDF("x").where("x is not null and x <> ''")
+    seen = None
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((given, family))  # the lexicon
+        counts = slim.mapInArrow(_counted(shared, seen is None), "w string, g bigint, f bigint, n bigint").groupBy("w").agg(F.sum("g").alias("g"), F.sum("f").alias("f"), F.sum("n").alias("n"))
+        if seen is None:
+            counts, path = scratch.write(counts)
+            seen = counts.select("w", "n")
+        else:
+            counts = counts.drop("n").join(seen, "w")
+        passing = counts.where(F.greatest("g", "f") >= F.greatest(F.lit(NAME_TEXTS), NAME_SHARE * F.col("n")))
+        given, family = widened(given, family, [(r.w, r.g, r.f, r.n) for r in passing.select("w", "g", "f", "n").collect()])
+    scratch.drop(path)
+    return _closed_lexicon(given, family)
+
+
+def fit(texts: list[str], given: set[str], family: set[str], lexicon: tuple[set[str], set[str]] | None = None) -> Model:
+    """``lexicon``: names known and learned, if they come from more than ``texts``."""
     texts = [t for t in texts if t]
-    wide_given, wide_family = learn_names(texts, given, family)
+    wide_given, wide_family = lexicon or learn_names(texts, given, family)
     finder = Finder(wide_given, wide_family, wide_given, wide_family)
     docs = [d for t in texts if (d := finder.pieces(t))]
     if not docs:
@@ -433,14 +512,14 @@ def fit(texts: list[str], given: set[str], family: set[str]) -> Model:
     return Model(w, pairs, wide_given, wide_family, wide_given, wide_family)
 
 
-def fit_on(corpus: DataFrame, key: Column, text: Column, names: DataFrame, rows: int = SAMPLE_TEXTS) -> Model:
-    """Fits on a bounded sample of a table and the small list of known names."""
+def fit_on(corpus: DataFrame, key: Column, text: Column, names: DataFrame, rows: int = SAMPLE_TEXTS, named: DataFrame | None = None) -> Model:
+    """Fits weights on a bounded sample of a table; names are learned from all its texts, or all of ``named`` (one text column)."""
     pool = sample(corpus, key, rows).select(text.alias("t")).toPandas()["t"]
     given, family = set(), set()
     for r in names.select("name", "name_kind").collect():
         if r.name:
             (family if (r.name_kind or "").lower() == "family" else given).add(r.name.lower())
-    return fit(list(pool), given, family)
+    return fit(list(pool), given, family, learn_names_on(corpus.select(text) if named is None else named, given, family))
 
 
 def label(texts: list[str | None], model: Model, finder: Finder | None = None) -> list[list[tuple[int, int, int]]]:

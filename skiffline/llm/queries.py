@@ -15,7 +15,7 @@ from skiffline.session import Scratch, table
 
 def personal_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Model]:
     messages, revisions = table(spark, sf_dir, "messages"), table(spark, sf_dir, "message_revisions")
-    model = pii.fit_on(messages, F.col("seq"), F.col("text"), table(spark, sf_dir, "known_names"))
+    model = pii.fit_on(messages, F.col("seq"), F.col("text"), table(spark, sf_dir, "known_names"), named=messages.select("text").unionByName(revisions.select("text")))
     both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("text").alias("x")).unionByName(revisions.select(F.lit("revision").alias("i"), F.col("id").alias("n"), F.col("text").alias("x")))
     return both, model
 

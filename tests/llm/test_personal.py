@@ -46,6 +46,17 @@ def test_names_are_learned():
     assert "newfam" in family and "newgiv" in given
 
 
+def test_names_are_learned_beyond_the_sample(spark):
+    texts = [(i, f"Spoke with Odalys Newfam{'abcd'[i % 4]} about it." if i < 12 else "Nothing here.") for i in range(400)]
+    df = spark.createDataFrame(texts, "n bigint, x string").repartition(3)
+    names = spark.createDataFrame([("Odalys", "given")], "name string, name_kind string")
+    assert pii.fit_on(df, F.col("n"), F.col("x"), names, rows=1).family == {"newfama", "newfamb", "newfamc", "newfamd"}
+    other = spark.createDataFrame([("Odalys Latefam called.",)] * 3 + [("",), (None,)], "text string")
+    assert pii.fit_on(df, F.col("n"), F.col("x"), names, rows=1, named=df.select("x").unionAll(other)).family >= {"newfama", "latefam"}
+    rows = [t for _, t in texts] + ["Tamsyl Newfama, tax no. 5."] * 3
+    assert pii.learn_names_on(spark.createDataFrame([(t,) for t in rows], "x string"), {"odalys"}, set()) == pii.learn_names(rows, {"odalys"}, set())
+
+
 def test_beliefs_equal_brute_force_on_trees():
     rng = np.random.default_rng(3)
     text = "Call 555.010.4155 and ask for Odalys Dravenko. Write to kel@mail.test."
