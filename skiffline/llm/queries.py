@@ -49,7 +49,7 @@ def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, messages, web = table(spark, sf_dir, "mod_labels"), table(spark, sf_dir, "messages"), table(spark, sf_dir, "web_snapshots")
-    model = toxicity.fit_on(labels, F.col("text"), F.col("category"), messages, F.col("seq"), F.col("text"))
+    model = toxicity.fit_on(labels, F.col("text"), F.col("category"), messages.select("text").unionByName(web.select("text")), F.col("text"))
     both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("channel_id").cast("string").alias("s"), F.col("text").alias("x")).unionByName(web.select(F.lit("web").alias("i"), F.col("id").alias("n"), F.col("source").alias("s"), F.col("text").alias("x")))
     return toxicity.scores(both, model, F.col("i"), F.col("n"), F.col("s"), F.col("x"))
 

@@ -10,9 +10,11 @@ the unlabelled, an insult is as rare there as its prior says.
 A labelled text may hold neutral sentences beside the one it was labelled for, and some
 labels are wrong: sentences that are common in the corpus, or that more clean texts hold,
 are no examples; of the rest the one that scores highest is.  A text's score is that of its
-highest sentence.
+highest sentence.  Being common alone rules no labelled text out: if all its sentences are,
+those that ``CONFIRMED`` texts of the category agree on stay examples.
 
-The fit uses all labels and a bounded sample of unlabelled texts (``SAMPLE_TEXTS``);
+How common a sentence is comes from counts over all distinct texts, so copies count once.
+The fit uses all labels and a bounded sample of distinct unlabelled texts (``SAMPLE_TEXTS``);
 scoring is a narrow map over all rows, rates are plain partial aggregates.
 
 Defined cases: NULL and empty texts score 0 and have no category; several hits give the
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 
 from skiffline.llm.langid import sample
 from skiffline.llm.textvec import Grams, grams, summed
+from skiffline.session import Scratch
 
 CATEGORIES = ["abuse", "hate", "sexual"]
 ORDERS = (3, 4, 5)
 BITS = 19
 SAMPLE_TEXTS = 16_000  #: unlabelled texts that the fit uses, at most about this many
 PRIOR = 0.02  #: class prior: the share of a category among unlabelled sentences, rather too high than too low
+GRAM_BITS = 20  #: buckets of the five-grams whose frequencies are counted
 COMMON = 0.0015  #: a five-gram in this share of unlabelled sentences is common
+CONFIRMED = 3  #: labelled texts whose agreement makes a common sentence an example
 ALIKE = 0.8  #: share of five-grams that two sentences of one pattern have in common
 SURE = 0.5  #: an unlabelled sentence above this joins the examples
 THRESHOLD = 0.42
@@ -157,46 +162,68 @@ def _shared(a: set[int], b: set[int]) -> bool:
     return len(a & b) >= ALIKE * min(len(a), len(b)) and len(a & b) >= ALIKE * 0.8 * max(len(a), len(b))
 
 
-def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list[str], pool: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which sentences of labelled texts can be what the label is about, and which of the pool are common.
+def _five_grams(pieces: list[str]) -> Grams:
+    return grams([s.ljust(5) for s in pieces], (5,), GRAM_BITS)
 
-    Common is a sentence most of whose five-grams many unlabelled sentences hold.  A
-    sentence that stands in more texts labelled clean than in texts of its category was
-    labelled wrongly.
+
+def frequencies(pieces: list[str]) -> np.ndarray:
+    """How many of the sentences hold each bucket of five-grams."""
+    g = _five_grams(pieces)
+    owners = np.repeat(np.arange(len(pieces)), np.diff(np.append(g.starts, len(g.ids))))
+    return np.bincount(np.unique(owners * (1 << GRAM_BITS) + g.ids) & ((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
+
+
+def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list[str], pool: list[str], df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sentences of labelled texts can be what the label is about, and which of the pool are ordinary.
+
+    Common is a sentence most of whose five-grams many of ``total`` sentences hold (``df``).
+    Such a one is an example only if its text has no rarer one and ``CONFIRMED`` texts of the
+    category hold its pattern: wrong labels are few and don't agree.  A sentence that stands in
+    more texts labelled clean than in texts of its category was labelled wrongly.
     """
-    g = grams([s.ljust(5) for s in (*flat, *clean, *pool)], (5,), 20)
+    g = _five_grams([*flat, *clean, *pool])
     bounds = np.append(g.starts, len(g.ids))
     at = len(flat) + len(clean)
-    owners = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    mine = owners >= at
-    df = np.bincount(np.unique(owners[mine] * (1 << 20) + g.ids[mine]) & ((1 << 20) - 1), minlength=1 << 20)
-    often = (df[g.ids] >= max(3, COMMON * len(pool))).astype(np.float32)
+    often = (df[g.ids] >= max(3, COMMON * total)).astype(np.float32)
     common = np.add.reduceat(often, g.starts) / np.diff(bounds) >= 0.65
     sets = [set(g.ids[bounds[i] : bounds[i + 1]].tolist()) for i in range(at)]
-    usable = ~common[: len(flat)]
-    for i in np.flatnonzero(usable):
+    rare = np.zeros(int(owner.max()) + 1, bool)
+    np.logical_or.at(rare, owner, ~common[: len(flat)])
+    open_to = ~common[: len(flat)]
+    lone = np.flatnonzero(~open_to & ~rare[owner])
+    confirmed = [i for i in lone if len({int(owner[j]) for j in lone if wanted[j] == wanted[i] and _shared(sets[i], sets[j])}) >= CONFIRMED]
+    open_to[confirmed] = True
+    usable = open_to.copy()
+    for i in np.flatnonzero(open_to):
         against = sum(_shared(sets[i], sets[j]) for j in range(len(flat), at))
-        if against and against >= len({int(owner[j]) for j in np.flatnonzero(~common[: len(flat)] & (wanted == wanted[i])) if _shared(sets[i], sets[j])}):
+        if against and against >= len({int(owner[j]) for j in np.flatnonzero(open_to & (wanted == wanted[i])) if _shared(sets[i], sets[j])}):
             usable[i] = False
     vetoed = [sets[j] for j in range(len(flat), at) if not common[j]] + [sets[i] for i in range(len(flat)) if not usable[i] and not common[i]]
     kept = [sets[i] for i in np.flatnonzero(usable)]
     doubtful = [v for v in vetoed if not any(_shared(v, k) for k in kept)]
-    known = set().union(*doubtful) if doubtful else set()
-    quoted = np.isin(g.ids, np.fromiter(known, np.int64, len(known)))
-    return usable, (common | (np.add.reduceat(quoted.astype(np.float32), g.starts) / np.diff(bounds) >= 0.8))[at:]
 
+    def mostly(members: list[set[int]]) -> np.ndarray:
+        """Sentences most of whose five-grams stand in ``members``."""
+        known = set().union(*members)
+        within = np.isin(g.ids, np.fromiter(known, np.int64, len(known)))
+        return np.add.reduceat(within.astype(np.float32), g.starts) / np.diff(bounds) >= ALIKE
+
+    frequent = mostly([sets[i] for i in np.flatnonzero(usable & common[: len(flat)])])
+    return usable, ((common & ~frequent) | mostly(doubtful))[at:]
 
-def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (4, 8, 8, 8, 12)) -> Model:
-    """``labels``: (text, category); ``unlabelled``: texts."""
+
+def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (4, 8, 8, 8, 12), counts: tuple[np.ndarray, int] | None = None) -> Model:
+    """``labels``: (text, category); ``unlabelled``: texts; ``counts``: frequencies and number of sentences, if of more than ``unlabelled``."""
     texts = [(s, c) for t, c in labels if t and c in CATEGORIES and (s := sentences_of(t))]
     clean = [s for t, c in labels if t and c == "clean" for s in sentences_of(t)]
-    pool = [s for t in unlabelled if t for s in sentences_of(t)] + clean
+    pool = [s for t in dict.fromkeys(unlabelled) if t for s in sentences_of(t)] + clean
     if not texts or not pool:
         return Model(np.zeros((1 << BITS, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), -20, np.float32))
     flat = [s for own, _ in texts for s in own]
     owner = np.repeat(np.arange(len(texts)), [len(own) for own, _ in texts])
     wanted = np.array([CATEGORIES.index(c) for _, c in texts])[owner]
-    usable, ordinary = examples(flat, owner, wanted, clean, pool)
+    df, total = (frequencies(pool), len(pool)) if counts is None else (counts[0] + frequencies(clean), counts[1] + len(clean))
+    usable, ordinary = examples(flat, owner, wanted, clean, pool, df, total)
     g = grams(flat + pool, ORDERS, BITS)
     u = np.arange(len(flat), len(flat) + len(pool))
     share = np.full(len(CATEGORIES), prior)
@@ -220,11 +247,36 @@ def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRI
     return Model(table, bias)
 
 
-def fit_on(labels: DataFrame, text: Column, category: Column, corpus: DataFrame, corpus_key: Column, corpus_text: Column, texts: int = SAMPLE_TEXTS) -> Model:
-    """Fits on a small labelled table and a bounded sample of the corpus."""
+def _counted(batches):
+    """A task's five-gram frequencies; bucket -1 has the number of sentences."""
+    df, total = np.zeros(1 << GRAM_BITS, np.int64), 0
+    for batch in batches:
+        pieces = [s for t in batch.column(0).to_pylist() for s in sentences_of(t)]
+        for i in range(0, len(pieces), 5000):
+            df += frequencies(pieces[i : i + 5000])
+        total += len(pieces)
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int64()), pa.array(np.append(df[held], total), pa.int64())], ["b", "n"])
+
+
+def corpus_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """``frequencies`` over all rows of a table with one text column, and the number of sentences; 2^GRAM_BITS rows come back at most."""
+    rows = texts.mapInArrow(_counted, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    buckets, n = rows["b"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    df = np.zeros(1 << GRAM_BITS, np.int64)
+    df[buckets[buckets >= 0]] = n[buckets >= 0]
+    return df, int(n[buckets < 0].sum())
+
+
+def fit_on(labels: DataFrame, text: Column, category: Column, corpus: DataFrame, corpus_text: Column, texts: int = SAMPLE_TEXTS) -> Model:
+    """Fits on a small labelled table, a bounded sample of the corpus' distinct texts and counts over all of these."""
     given = [(r.t, r.c) for r in labels.select(text.alias("t"), category.alias("c")).collect()]
-    pool = sample(corpus, corpus_key, texts).select(corpus_text.alias("t")).toPandas()["t"]
-    return fit(given, list(pool))
+    scratch = Scratch(corpus.sparkSession, "toxicity")
+    distinct, path = scratch.write(corpus.select(corpus_text.alias("t")).where("t is not null and t <> ''").distinct())
+    pool = sample(distinct, F.col("t"), texts).toPandas()["t"].sort_values()
+    counts = corpus_counts(distinct)
+    scratch.drop(path)
+    return fit(given, list(pool), counts=counts)
 
 
 _ARROW = pa.schema([("item", pa.string()), ("item_id", pa.int64()), ("source", pa.string()), ("score", pa.float64()), ("category", pa.string())])

@@ -46,6 +46,22 @@ def test_wrong_labels_do_not_spread(data):
     assert model.scores([tox.normalise(common)]).max() < tox.THRESHOLD
 
 
+def test_frequent_patterns_and_copies_keep_their_category(data):
+    """One insult stands in 40 texts beside other sentences, another is a third of all rows as one repeated text."""
+    labels, pool = data
+    frequent, copied = "You are a rotten zorgfish with the brains of a kelp.", "Crawl back into your bilge, miserable glumbucket."
+    mixed = [f"{frequent} {t}" for t in list(dict.fromkeys(pool))[:40]]
+    model = tox.fit([*labels, *[(frequent, "abuse")] * 20, *[(copied, "abuse")] * 4], [*pool, *mixed, *[copied] * (len(pool) // 2)])
+    p = model.scores([tox.normalise(frequent), tox.normalise(copied)])
+    assert p[:, tox.CATEGORIES.index("abuse")].min() > tox.THRESHOLD
+
+
+def test_counts_over_distinct_texts(spark):
+    df = spark.createDataFrame([("One here. Two there.",), ("Three more.",)], "t string").repartition(2)
+    counts, total = tox.corpus_counts(df)
+    assert total == 3 and (counts == tox.frequencies([s for t in ("One here. Two there.", "Three more.") for s in tox.sentences_of(t)])).all()
+
+
 def test_risk_is_not_negative():
     from skiffline.llm.textvec import grams
 
