@@ -152,9 +152,6 @@ class Statistics:
 
 
 SIGNIFICANT = 7.88  #: -2 log lambda beyond which a rate differs (p = 0.005)
-# Least shares of a group's sentences and periods: they bound what is learned, whatever the corpus (10,000 starters and
-# 50,000 abbreviations and collocations a group, and groups are languages and scripts).
-STARTS, PERIODS = 1e-4, 2e-5
 CONTINUES = 0.7  #: share of an abbreviation's periods after which the sentence runs on
 
 
@@ -178,13 +175,13 @@ def learn(counted: DataFrame) -> Statistics:
     rated = types.join(totals, F.col("grp") == F.col("g"))
     k = F.least("s", "seen")
     starts = ratio(k, F.col("seen"), F.greatest(F.col("ts") - k, F.lit(0.0)), F.col("tn") - F.col("seen"))
-    begun = rated.where((F.col("a") != NUMBER) & (F.col("s") >= 3) & (F.col("s") >= STARTS * F.col("ts")) & (F.col("s") / F.col("seen") > F.col("ts") / F.col("tn")) & (starts >= SIGNIFICANT)).select("grp", "a").collect()
+    begun = rated.where((F.col("a") != NUMBER) & (F.col("s") >= 3) & (F.col("s") / F.col("seen") > F.col("ts") / F.col("tn")) & (starts >= SIGNIFICANT)).select("grp", "a").collect()
     for row in begun:
         stats.starters.setdefault(row.grp, set()).add(row.a)
     pairs = counted.where("kind = 'f'").select("grp", "a", "b", F.col("n").cast("double").alias("n"))
     starters = spark.createDataFrame([(r.grp, r.a) for r in begun], "sg string, sb string")
     after = pairs.join(F.broadcast(starters), (F.col("grp") == F.col("sg")) & (F.col("b") == F.col("sb")), "left").groupBy(F.col("grp").alias("fg"), F.col("a").alias("fa")).agg(F.sum(F.when(F.col("sb").isNull(), F.col("n")).otherwise(0)).alias("on"), F.sum("n").alias("all"))
-    taken = rated.where((F.col("p") >= 3) & (F.col("p") >= PERIODS * F.col("tp"))).join(after, (F.col("grp") == F.col("fg")) & (F.col("a") == F.col("fa")), "left").withColumn("on", F.coalesce("on", F.lit(0.0)) + F.col("l")).withColumn("all", F.coalesce("all", F.lit(0.0)) + F.col("l"))
+    taken = rated.where(F.col("p") >= 3).join(after, (F.col("grp") == F.col("fg")) & (F.col("a") == F.col("fa")), "left").withColumn("on", F.coalesce("on", F.lit(0.0)) + F.col("l")).withColumn("all", F.coalesce("all", F.lit(0.0)) + F.col("l"))
     periods = ratio(F.col("p"), F.col("seen"), F.col("tp") - F.col("p"), F.col("tn") - F.col("seen"))
     often = (F.col("p") / F.col("seen") > F.col("tp") / F.col("tn")) & (periods >= SIGNIFICANT)
     short = F.col("a").contains(".") | (F.length("a") == 1)
@@ -201,7 +198,7 @@ def learn(counted: DataFrame) -> Statistics:
     near = near.join(words.withColumnsRenamed({"a": "b", "seen": "nb"}), ["grp", "b"]).join(words.withColumnsRenamed({"seen": "na"}), ["grp", "a"]).join(totals, F.col("grp") == F.col("g"))
     together = F.least("n", "na")
     tied = ratio(together, F.col("na"), F.greatest(F.col("nb") - together, F.lit(0.0)), F.col("tn") - F.col("na"))
-    for row in near.where((F.col("n") >= 3) & (F.col("n") >= PERIODS * F.col("tp")) & (together / F.col("na") > F.col("nb") / F.col("tn")) & (tied >= SIGNIFICANT)).select("grp", "a", "b").collect():
+    for row in near.where((F.col("n") >= 3) & (together / F.col("na") > F.col("nb") / F.col("tn")) & (tied >= SIGNIFICANT)).select("grp", "a", "b").collect():
         stats.collocations.setdefault(row.grp, set()).add((row.a, row.b))
     return stats
 

@@ -70,3 +70,11 @@ def test_statistics_do_not_grow_with_repetition(spark):
     twice = docs.unionByName(docs)
     once, again = (s.learn(s.counts(d, F.col("text"), F.col("lang"))) for d in (docs, twice))
     assert once.abbreviations.get("latin", set()) <= again.abbreviations["latin"] | {""}
+
+
+def test_rare_types_of_large_groups_are_learned(spark):
+    rows = [("en", "p", "end", None, 10_000_000), ("en", "w", "end", None, 90_000_000), ("en", "s", "the", None, 9_000_000), ("en", "w", "the", None, 9_000_000)]
+    rows += [("en", "p", "abbr", None, 150), ("en", "l", "abbr", None, 140), ("en", "s", "thus", None, 800), ("en", "w", "thus", None, 900)]
+    rows += [("en", "f", "abbr", "zed", 10), ("en", "w", "zed", None, 12)]
+    stats = s.learn(spark.createDataFrame(rows, "grp string, kind string, a string, b string, n bigint"))
+    assert "abbr" in stats.abbreviations["en"] and "thus" in stats.starters["en"] and ("abbr", "zed") in stats.collocations["en"]
