@@ -1,7 +1,7 @@
 """Captured pages and archive indexes to rows.
 
-Feed pages are HTML.  Instead of an event-driven parser a page is cut by a small tokenizer
-into tags and text, and one pass over them keeps the open post and the field it is in.
+Feed pages are HTML.  A page is cut into a flat table of tags and texts; posts are balanced
+spans of it, and what a post holds is looked up in its span by class.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,47 +32,79 @@ _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def posts(page: str, markup: PageMarkup = PageMarkup()) -> list[dict]:
-    """The posts of a page in document order; a post that isn't closed is left out, its last text block counts."""
-    out, post, depth, into, buffer, at = [], None, 0, None, [], 0
+class Event(NamedTuple):
+    """A tag or a piece of text of a page, in document order."""
+
+    kind: str  #: ``open``, ``close`` or ``text``
+    name: str = ""
+    attributes: dict = {}
+    text: str = ""
 
-    def put(chunk: str) -> None:
-        if post is not None and into is not None and chunk:
-            buffer.append(chunk)
+    def has_class(self, name: str) -> bool:
+        return name in self.attributes.get("class", "").split()
 
+
+def events(page: str) -> list[Event]:
+    """A page as a flat table of tags and texts, entities decoded."""
+    out, at = [], 0
     for m in _TAG.finditer(page):
-        put(html.unescape(page[at : m.start()]))
+        if m.start() > at:
+            out.append(Event("text", text=html.unescape(page[at : m.start()])))
         at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name:
-            continue
-        if m.group(1):
-            if name == "div" and post is not None:
-                if into == "text":
-                    post["text"], into = "".join(buffer).strip(), None
-                depth -= 1
-                if depth <= 0:
-                    out.append(post)
-                    post, into = None, None
-            elif name in ("span", "a") and into not in (None, "text"):
-                post[into], into = ((post[into] or "") + "".join(buffer)).strip(), None
-            continue
-        attributes = {a.group(1).lower(): html.unescape(next((v for v in a.groups()[1:] if v is not None), "")) for a in _ATTRIBUTE.finditer(m.group(3) or "")}
-        classes = attributes.get("class", "").split()
-        if name == "div":
-            depth += post is not None
-            if markup.post in classes and attributes.get(markup.id_attribute):
-                post, depth, into = {"post_id": attributes[markup.id_attribute], "datetime": None, "views": None, "signature": None, "forwarded_from": None, "text": None}, 1, None
-            elif markup.text in classes and post is not None:
-                into, buffer = "text", []
-        elif post is not None and name == "time" and "datetime" in attributes:
-            post["datetime"] = attributes["datetime"]
-        elif name == "br" and into == "text":
-            put("\n")
-        elif name in ("span", "a") and into != "text":
-            for c in classes:
-                if post is not None and c in markup.fields:
-                    into, buffer = markup.fields[c], []
+        if m.group(2):
+            pairs = ((a.group(1).lower(), next((v for v in a.groups()[1:] if v is not None), "")) for a in _ATTRIBUTE.finditer(m.group(3)))
+            out.append(Event("close" if m.group(1) else "open", m.group(2).lower(), {k: html.unescape(v) for k, v in pairs}))
+    if at < len(page):
+        out.append(Event("text", text=html.unescape(page[at:])))
+    return out
+
+
+def balanced(table: list[Event], name: str) -> dict[int, int]:
+    """Where each element of a name that is closed begins and ends, other elements disregarded."""
+    opened, spans = [], {}
+    for i, e in enumerate(table):
+        if e.name == name:
+            if e.kind == "open":
+                opened.append(i)
+            elif opened:
+                spans[opened.pop()] = i
+    return spans
+
+
+def _until(table: list[Event], start: int, *names: str) -> int:
+    """The first end tag of one of the names after a place, else the end of the table."""
+    return next((j for j in range(start + 1, len(table)) if table[j].kind == "close" and table[j].name in names), len(table))
+
+
+def _text(table: list[Event]) -> str:
+    return "".join("\n" if e.name == "br" else e.text for e in table if e.name == "br" or e.kind == "text")
+
+
+def post_fields(table: list[Event], markup: PageMarkup) -> dict:
+    """The fields of one post's events: the last time and text block, every piece of the short fields."""
+    blocks = [(i, _until(table, i, "div")) for i, e in enumerate(table) if i and e.kind == "open" and e.name == "div" and e.has_class(markup.text)]
+    short: dict[str, list[str]] = {}
+    for i, e in enumerate(table):
+        if e.kind == "open" and e.name in ("span", "a") and not any(a < i < b for a, b in blocks):
+            for of, column in markup.fields.items():
+                if e.has_class(of):
+                    short.setdefault(column, []).append("".join(x.text for x in table[i : _until(table, i, "span", "a")]))
+    times = [e.attributes["datetime"] for e in table if e.kind == "open" and e.name == "time" and "datetime" in e.attributes]
+    texts = [_text(table[a:b]).strip() for a, b in blocks if b < len(table)]
+    return {"datetime": times[-1] if times else None, **{c: "".join(short[c]).strip() if c in short else None for c in markup.fields.values()}, "text": texts[-1] if texts else None}
+
+
+def posts(page: str, markup: PageMarkup = PageMarkup()) -> list[dict]:
+    """The posts of a page in document order; a post that isn't closed, or that holds another one, is left out."""
+    table = events(page)
+    heads = [i for i, e in enumerate(table) if e.kind == "open" and e.name == "div" and e.has_class(markup.post) and e.attributes.get(markup.id_attribute)]
+    if not heads:
+        return []
+    ends = balanced(table, "div")
+    out = []
+    for i, following in zip(heads, [*heads[1:], len(table)]):
+        if i in ends and ends[i] < following:
+            out.append({"post_id": table[i].attributes[markup.id_attribute], **post_fields(table[i : ends[i] + 1], markup)})
     return out
 
 

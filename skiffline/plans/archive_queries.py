@@ -575,15 +575,17 @@ def iso_times(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", fn.iso_text(F.timestamp_micros(instant_micros(F.col("date")))).alias("iso"))
 
 
-_TARGETS = ["@durable", "https://t.me/durable", "t.me/durable/12", "t.me/+AbC_d", "t.me/joinchat/XyZ", "+15551234567", "#архив", "-100200300"]
-
-
-@query("""select * from (values ('@durable', 'username', 'durable', null::bigint), ('https://t.me/durable', 'username', 'durable', null), ('t.me/durable/12', 'msg_link', 'durable', 12), ('t.me/+AbC_d', 'invite', 'AbC_d', null),
-('t.me/joinchat/XyZ', 'invite', 'XyZ', null), ('+15551234567', 'phone', '+15551234567', null), ('#архив', 'hashtag', 'архив', null), ('-100200300', 'peer_id', '-100200300', null)) t(text, kind, value, msg_id)""")
+@query(r"""with named as (select id, 'https://t.me/' || username as x, 'username' as kind, username as value, null::bigint as msg_id from channels where username is not null
+union all select id, 't.me/' || username || '/' || id, 'msg_link', username, id from channels where username is not null
+union all select id, '-100' || id, 'peer_id', '-100' || id, null from channels union all select id, '+' || id, 'phone', '+' || id, null from channels)
+select id, x, kind, value, msg_id, kind <> 'phone' as leads_to_chat from named""")
 def targets(spark, sf_dir):
-    """What a user may name, by shape."""
-    t = fn.target(F.col("text"))
-    return spark.createDataFrame([(x,) for x in _TARGETS], "text string").select("text", t["kind"].alias("kind"), t["value"].alias("value"), t["msg_id"].alias("msg_id"))
+    """What a user may name, by shape: every channel's name, message link, peer id and a number like a phone's."""
+    c = table(spark, sf_dir, "channels").select("id", "username")
+    name, number = F.col("username"), F.col("id").cast("string")
+    texts = F.array(F.concat(F.lit("https://t.me/"), name), F.concat(F.lit("t.me/"), name, F.lit("/"), number), F.concat(F.lit("-100"), number), F.concat(F.lit("+"), number))
+    t = fn.target(F.col("x"))
+    return c.select("id", F.explode(texts).alias("x")).where("x is not null").select("id", "x", t["kind"].alias("kind"), t["value"].alias("value"), t["msg_id"].alias("msg_id"), fn.is_channel_like(t["kind"]).alias("leads_to_chat"))
 
 
 @query(r"select id, regexp_extract(url, '/s/([^/]+)/([0-9]+)$', 1) as username, cast(nullif(regexp_extract(url, '/s/([^/]+)/([0-9]+)$', 2), '') as bigint) as msg_id from web_snapshots where source = 'tme'")

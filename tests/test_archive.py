@@ -16,43 +16,82 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values()) or (1,)], schema).select(column.alias("r")).first().r
 
 
-@pytest.mark.parametrize(
-    ("text", "offset", "length", "want"),
-    [("hello world", 6, 5, "world"), ("\U0001f600 world", 3, 5, "world"), ("\U0001f600x", 1, 2, "x"), ("x\U0001f600", 0, 2, "x"), ("\U0001f600", 0, 2, "\U0001f600"), ("abc", -1, 2, ""), ("abc", 1, 99, "bc"), ("", 0, 3, "")],
-)
-def test_utf16_slice(spark, text, offset, length, want):
-    assert one(spark, fn.utf16_slice(F.col("t"), F.col("o"), F.col("n")), t=text, o=offset, n=length) == want
-
-
-@pytest.mark.parametrize(
-    ("url", "want"),
-    [
-        ("https://t.me/durable", ("username", "durable")),
-        ("t.me/durable", ("username", "durable")),
-        ("https://TELEGRAM.me/durable/123", ("username", "durable")),
-        ("https://t.me/s/durable", ("username", "durable")),
-        ("https://t.me/+AbCd", ("invite", "AbCd")),
-        ("https://t.me/joinchat/AbCd", ("invite", "AbCd")),
-        ("https://example.com/durable", None),
-        ("https://www.t.me/durable", None),
-        ("not a url at all", None),
-        ("https://t.me/", None),
-        ("https://t.me/+", None),
-        (None, None),
-    ],
-)
-def test_link_target(spark, url, want):
-    got = one(spark, fn.link_target(F.col("u")), u=url)
-    assert (tuple(got) if got else None) == want
-
-
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("@durable", ("username", "durable", None)), (" https://www.t.me/durable ", ("username", "durable", None)), ("t.me/durable/12", ("msg_link", "durable", 12)), ("+15551234567", ("phone", "+15551234567", None)), ("t.me/+abc1", ("invite", "abc1", None)), ("#архив", ("hashtag", "архив", None)), ("-1001", ("peer_id", "-1001", None)), ("", None), ("two words", None)],
-)
-def test_target(spark, text, want):
-    got = one(spark, fn.target(F.col("t")), t=text)
-    assert (tuple(got) if got else None) == want
+def units(text):
+    """Where each character of a text begins, in UTF-16 units, and where the text ends."""
+    at = [0]
+    for c in text:
+        at.append(at[-1] + len(c.encode("utf-16-le")) // 2)
+    return at
+
+
+@pytest.mark.parametrize("text", ["pier nine", "\U0001f30a\U0001f30a pier \u00e9\U0001d11e", "\u6f6e\U0002000b", ""])
+def test_utf16_slice(spark, text):
+    at = units(text)
+    wanted = [(text[i:j], at[i], at[j] - at[i]) for i in range(len(text) + 1) for j in range(i, len(text) + 1)]
+    rows = spark.createDataFrame([(w, text, o, n) for w, o, n in wanted], "w string, t string, o int, n int")
+    assert rows.where(fn.utf16_slice(F.col("t"), F.col("o"), F.col("n")) != F.col("w")).count() == 0
+
+
+@pytest.mark.parametrize(("offset", "length", "want"), [(1, 2, "q"), (0, 1, ""), (2, 50, "q"), (-2, 3, ""), (2, -1, ""), (9, 1, "")])
+def test_utf16_slice_at_odd_places(spark, offset, length, want):
+    """Half a pair is left out, what lies beyond the end is nothing."""
+    assert one(spark, fn.utf16_slice(F.col("t"), F.col("o"), F.col("n")), t="\U0001f6a2q", o=offset, n=length) == want
+
+
+def test_link_target(spark):
+    wanted = {
+        "http://t.me/kelp_mirror": ("username", "kelp_mirror"),
+        "telegram.dog/Gull9": ("username", "Gull9"),
+        "https://T.ME/s/gull_relay/": ("username", "gull_relay"),
+        "telegram.me/gull_relay/77?single#top": ("username", "gull_relay"),
+        "t.me/+q-R_7": ("invite", "q-R_7"),
+        "//t.me/kelp": None,
+        "https://telegram.dog/joinchat/q-R_7/": ("invite", "q-R_7"),
+        "https://t.me/joinchat": ("username", "joinchat"),
+        "https://feed.example/s/gull_relay": None,
+        "https://web.t.me/gull_relay": None,
+        "https://t.me:443/gull_relay": ("username", "gull_relay"),
+        "t.me": None,
+        "http://telegram.me//": None,
+        "t.me/+": None,
+        "tide at nine": None,
+        "": None,
+    }
+    t = fn.link_target(F.col("u"))
+    rows = spark.createDataFrame([(u,) for u in [*wanted, None]], "u string").select("u", t["kind"].alias("k"), t["value"].alias("v")).collect()
+    assert {r.u: (r.k, r.v) if r.k else None for r in rows} == {**wanted, None: None}
+
+
+def test_target(spark):
+    wanted = {
+        "kelp_mirror": ("username", "kelp_mirror", None),
+        "\t@Gull9\n": ("username", "Gull9", None),
+        "HTTP://WWW.T.ME/Gull9": ("username", "Gull9", None),
+        "www.t.me/Gull9/008": ("msg_link", "Gull9", 8),
+        "Gull9/8/2": None,
+        "@Gull9/8": None,
+        "joinchat/8": ("invite", "8", None),
+        "https://t.me/joinchat/q-R_7": ("invite", "q-R_7", None),
+        "+q-R_7": ("invite", "q-R_7", None),
+        "+4930123456": ("phone", "+4930123456", None),
+        "t.me/+4930123456": ("phone", "+4930123456", None),
+        "+49301": None,
+        "+1234567890123456": None,
+        "#tide_9": ("hashtag", "tide_9", None),
+        "#прилив": ("hashtag", "прилив", None),
+        "#a b": None,
+        "1800000003": ("peer_id", "1800000003", None),
+        "-1001800000003": ("peer_id", "-1001800000003", None),
+        "9gull": None,
+        "g" * 32: ("username", "g" * 32, None),
+        "g" * 33: None,
+        "gull relay": None,
+        "": None,
+    }
+    t = fn.target(F.col("x"))
+    rows = spark.createDataFrame([(x,) for x in [*wanted, None]], "x string").select("x", t["kind"].alias("k"), t["value"].alias("v"), t["msg_id"].alias("m"), fn.is_channel_like(t["kind"]).alias("leads")).collect()
+    assert {r.x: (r.k, r.v, r.m) if r.k else None for r in rows} == {**wanted, None: None}
+    assert {r.k for r in rows if r.leads} == {"username", "msg_link", "invite", "peer_id"}
 
 
 def test_uris_and_times(spark):
@@ -227,18 +266,22 @@ def test_json_lines_and_raw_log(spark, tmp_path):
     assert f.size == 1 and f.path == f"{f.sha256[:2]}/{f.sha256}.jpg"
 
 
-PAGE = """<div class="tgme_widget_message js" data-post="durable/523"><div class="tgme_widget_message_text">First<br>line &amp; more</div><div class="tgme_widget_message_text">Last <b>text</b><div>inner</div>lost</div>
-<span class="tgme_widget_message_views">1.42M</span><a class="tgme_widget_message_author_signature"> Ann </a><time datetime="2024-01-01T00:00:00+00:00"></time></div>
-<div class="tgme_widget_message" data-post="bad"><span class="tgme_widget_message_forwarded_from_name">Fwd</span></div><div class="tgme_widget_message" data-post="durable/524"><div>open"""
+PAGE = """<p>5.3K readers</p>
+<div class="wrap"><div data-post="gull_relay/41" class="js tgme_widget_message"><div class="tgme_widget_message_text">old</div>
+<div class="tgme_widget_message_text">Ferry &lt;late&gt;<br/>see <a href="x">the board</a><div>until nine</div> not this</div>
+<a class="tgme_widget_message_author_signature"> Mo <b>T.</b> </a><time datetime='2025-02-03T04:05:06+00:00'>4:05</time><span class="tgme_widget_message_views">7.5K</span></div></div>
+<div class="tgme_widget_message"><div class="tgme_widget_message_text">no id</div></div>
+<div class="tgme_widget_message" data-post="nameless"><span class="tgme_widget_message_forwarded_from_name">Kelp</span> &amp; more<!-- <div> --></div>
+<div class="tgme_widget_message" data-post="gull_relay/40"><div>never closed"""
 
 
 def test_feed_page(spark):
     got = web.posts(PAGE)
-    assert [p["post_id"] for p in got] == ["durable/523", "bad"]
-    assert (got[0]["text"], got[0]["views"], got[0]["signature"], got[0]["datetime"]) == ("Last textinner", "1.42M", "Ann", "2024-01-01T00:00:00+00:00")
-    assert got[1]["forwarded_from"] == "Fwd"
+    assert [p["post_id"] for p in got] == ["gull_relay/41", "nameless"]
+    assert (got[0]["text"], got[0]["views"], got[0]["signature"], got[0]["datetime"]) == ("Ferry <late>\nsee the boarduntil nine", "7.5K", "Mo T.", "2025-02-03T04:05:06+00:00")
+    assert (got[1]["forwarded_from"], got[1]["text"], got[1]["datetime"]) == ("Kelp", None, None)
     rows = web.feed_posts(spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "i bigint, h string"), F.col("i"), F.col("h")).collect()
-    assert [(r.page_id, r.channel_username, r.msg_id) for r in rows] == [(1, "durable", 523), (1, None, None)]
+    assert [(r.page_id, r.channel_username, r.msg_id) for r in rows] == [(1, "gull_relay", 41), (1, None, None)]
 
 
 def test_archive_index(spark):
