@@ -6,6 +6,8 @@ against brute force, round trips and held-out rows in ``tests/llm``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,25 @@ from skiffline.llm import langid, mixing, packing, pii, sentences, tokens, toxic
 from skiffline.session import Scratch, table
 
 
+_MODELS: dict = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, tables: list[str], what: str, fit: Callable[[], object]):
+    """A model, fitted once in a session for the files that its tables have now."""
+    files = []
+    for name in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    key = (spark.sparkContext.applicationId, what, tuple(files))
+    if key not in _MODELS:
+        _MODELS[key] = fit()
+    return _MODELS[key]
+
+
 def personal_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Model]:
     messages, revisions = table(spark, sf_dir, "messages"), table(spark, sf_dir, "message_revisions")
-    model = pii.fit_on(messages, F.col("seq"), F.col("text"), table(spark, sf_dir, "known_names"), named=messages.select("text").unionByName(revisions.select("text")))
+    model = fitted(spark, sf_dir, ["messages", "message_revisions", "known_names"], "personal", lambda: pii.fit_on(messages, F.col("seq"), F.col("text"), table(spark, sf_dir, "known_names"), named=messages.select("text").unionByName(revisions.select("text"))))
     both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("text").alias("x")).unionByName(revisions.select(F.lit("revision").alias("i"), F.col("id").alias("n"), F.col("text").alias("x")))
     return both, model
 
@@ -33,7 +51,7 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, channels = table(spark, sf_dir, "messages"), table(spark, sf_dir, "channels")
-    model = langid.fit_on(messages, F.col("seq"), F.col("text"), F.col("lang"))
+    model = fitted(spark, sf_dir, ["messages"], "language", lambda: langid.fit_on(messages, F.col("seq"), F.col("text"), F.col("lang")))
     both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("lang").alias("l"), F.col("text").alias("x")).unionByName(channels.select(F.lit("about").alias("i"), F.col("id").alias("n"), F.col("lang").alias("l"), F.col("about").alias("x")))
     return langid.parts(both, model, F.col("i"), F.col("n"), F.col("l"), F.col("x"))
 
@@ -49,7 +67,7 @@ def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, messages, web = table(spark, sf_dir, "mod_labels"), table(spark, sf_dir, "messages"), table(spark, sf_dir, "web_snapshots")
-    model = toxicity.fit_on(labels, F.col("text"), F.col("category"), messages.select("text").unionByName(web.select("text")), F.col("text"))
+    model = fitted(spark, sf_dir, ["mod_labels", "messages", "web_snapshots"], "toxicity", lambda: toxicity.fit_on(labels, F.col("text"), F.col("category"), messages.select("text").unionByName(web.select("text")), F.col("text")))
     both = messages.select(F.lit("message").alias("i"), F.col("seq").alias("n"), F.col("channel_id").cast("string").alias("s"), F.col("text").alias("x")).unionByName(web.select(F.lit("web").alias("i"), F.col("id").alias("n"), F.col("source").alias("s"), F.col("text").alias("x")))
     return toxicity.scores(both, model, F.col("i"), F.col("n"), F.col("s"), F.col("x"))
 

@@ -7,14 +7,23 @@ sentences): pi R_P+ + max(0, R_U- - pi R_P-).
 Words as such don't decide: a report, rule or title that quotes an insult is common among
 the unlabelled, an insult is as rare there as its prior says.
 
+The prior is an upper bound, not an estimate: labelled examples are no random sample of
+what occurs (patterns rare in the corpus are labelled as often as frequent ones), so the
+least ratio of unlabelled to held-out positive scores, a usual estimate, comes out at a
+third of the true share or less, and with it patterns without labels are learned as
+negative.  Examples labelled clean are known negatives: each counts as ``CLEAN_WEIGHT``
+unlabelled sentences, unless usable examples of a category contradict it.
+
 A labelled text may hold neutral sentences beside the one it was labelled for, and some
 labels are wrong: sentences that are common in the corpus, or that more clean texts hold,
 are no examples; of the rest the one that scores highest is.  A text's score is that of its
 highest sentence.  Being common alone rules no labelled text out: if all its sentences are,
-those that ``CONFIRMED`` texts of the category agree on stay examples.
+those that ``CONFIRMED`` texts of the category agree on stay examples.  Between the rounds
+of fitting, unlabelled sentences that are likelier of a category than not join its examples,
+so that what varies in them is learned too.
 
 How common a sentence is comes from counts over all distinct texts, so copies count once.
-The fit uses all labels and a bounded sample of distinct unlabelled texts (``SAMPLE_TEXTS``);
+The fit uses at most ``LABEL_ROWS`` labels and ``SAMPLE_TEXTS`` distinct unlabelled texts;
 scoring is a narrow map over all rows, rates are plain partial aggregates.
 
 Defined cases: NULL and empty texts score 0 and have no category; several hits give the
@@ -34,20 +43,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skiffline.llm.langid import sample
-from skiffline.llm.textvec import Grams, grams, summed
+from skiffline.llm.textvec import Grams, fast_sums, grams, summed, with_nothing
 from skiffline.session import Scratch
 
 CATEGORIES = ["abuse", "hate", "sexual"]
 ORDERS = (3, 4, 5)
 BITS = 19
 SAMPLE_TEXTS = 16_000  #: unlabelled texts that the fit uses, at most about this many
-PRIOR = 0.02  #: class prior: the share of a category among unlabelled sentences, rather too high than too low
+LABEL_ROWS = 20_000  #: labelled rows that the fit uses, at most about this many
+PRIOR = 0.02  #: class prior: the share of a category among unlabelled sentences, an upper bound (see above)
+EPOCHS = (4, 6, 6, 6, 6, 10)  #: passes over the unlabelled sentences in each round
+THRESHOLD = 0.42  #: texts whose score is above it have a category
 GRAM_BITS = 20  #: buckets of the five-grams whose frequencies are counted
 COMMON = 0.0015  #: a five-gram in this share of unlabelled sentences is common
 CONFIRMED = 3  #: labelled texts whose agreement makes a common sentence an example
+CLEAN_WEIGHT = 10  #: how many unlabelled sentences a sentence labelled clean counts for
 ALIKE = 0.8  #: share of five-grams that two sentences of one pattern have in common
-SURE = 0.5  #: an unlabelled sentence above this joins the examples
-THRESHOLD = 0.42
 
 # Letters of another script that look like a Latin one, and the way back.
 _LOOKALIKE = dict(zip("асеорхуіѕјԁкмтвн", "aceopxyisjdkmtbh"))
@@ -57,6 +68,7 @@ _SPLIT = re.compile(r"(?<=[.!?…。！？؟।])[\"”»“’)\]]*\s+|(?<=[。
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .\-_*·][^\W\d_]){2,}(?![^\W\d_])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _OTHER = re.compile(r"(?:https?://\S+|[@#]\w*|[^\w*@#]|\d)+")
+_TOUCHING = re.compile(r"[a-z][а-џԁ-ԛ]|[а-џԁ-ԛ][a-z]")
 _MIXED = re.compile(r"\w*(?:[a-z][а-џԁ-ԛ]|[а-џԁ-ԛ][a-z])\w*")
 
 
@@ -66,17 +78,24 @@ def _same_script(m: re.Match) -> str:
     return word.translate(_TO_LATIN if 2 * latin >= len(word) or not word.translate(_TO_LATIN).strip("abcdefghijklmnopqrstuvwxyz") else _TO_CYRILLIC)
 
 
-def _plain(text: str) -> str:
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+class _Bare(dict):
+    """Code points to their letters without accents, looked up once each."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        return self[code]
+
+
+_BARE = _Bare()
 
 
 def normalise(sentence: str) -> str:
     """Small letters without accents, look-alikes, stretching or spacing; other signs become blanks."""
-    t = _plain(sentence.lower())
+    t = sentence.lower()
     if not t.isascii():
-        t = _MIXED.sub(_same_script, t)
+        t = t.translate(_BARE)
+        if _TOUCHING.search(t):
+            t = _MIXED.sub(_same_script, t)
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), t)
     t = _LONG.sub(r"\1", t)
     return _OTHER.sub(" ", t).strip()
@@ -88,13 +107,16 @@ def sentences_of(text: str) -> list[str]:
 
 @dataclass
 class Model:
+    """``table``: a weight per bucket and category, a row of zeros last; texts above ``threshold`` have a category."""
+
     table: np.ndarray
     bias: np.ndarray
+    threshold: float = THRESHOLD
 
     def scores(self, pieces: list[str]) -> np.ndarray:
         """Probabilities, sentences x categories."""
-        g = grams(pieces, ORDERS, BITS)
-        return sigmoid(raw(self.table, self.bias, g))
+        total, n = fast_sums(self.table, pieces, ORDERS, BITS)
+        return sigmoid(total / _norm(n)[:, None] + self.bias)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,42 +139,61 @@ def _take(g: Grams, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return g.ids[np.arange(ln.sum()) - np.repeat(starts, ln) + np.repeat(bounds[rows], ln)], starts, ln
 
 
-def nn_pu(g: Grams, positive: list[np.ndarray], unlabelled: np.ndarray, prior: np.ndarray, epochs: int, batch: int = 1024, rate: float = 0.3, decay: float = 1e-6, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Minimises the non-negative risk with logistic loss by AdaGrad over batches of unlabelled rows beside all positives."""
+class Part:
+    """Some rows of a table of n-grams, with what is needed to sum over their n-grams and, for each bucket, over the rows that hold it."""
+
+    def __init__(self, g: Grams, rows: np.ndarray):
+        self.ids, self.starts, self.lengths = _take(g, rows)
+        self.scale = (1 / _norm(self.lengths))[:, None]
+        self.by = np.argsort(self.ids, kind="stable")
+        ordered = self.ids[self.by]
+        self.first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        self.touched = ordered[self.first]
+        self.owner = np.repeat(np.arange(len(rows)), self.lengths)[self.by]
+
+    def scores(self, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(table[self.ids], self.starts, axis=0) * self.scale + bias
+
+    def step(self, grad: np.ndarray) -> np.ndarray:
+        return np.add.reduceat((grad * self.scale)[self.owner], self.first, axis=0)
+
+
+def batches_of(g: Grams, unlabelled: np.ndarray, batch: int = 1024, seed: int = 11) -> list[Part]:
+    order = np.random.default_rng(seed).permutation(unlabelled)
+    return [Part(g, order[i : i + batch]) for i in range(0, len(order), batch)]
+
+
+def nn_pu(positive: list[np.ndarray], g: Grams, batches: list[Part], prior: np.ndarray, epochs: int, rate: float = 0.3, decay: float = 1e-6, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Minimises the non-negative risk with logistic loss by AdaGrad, batches of unlabelled rows beside all positives."""
     k = len(positive)
     table, square = np.zeros((1 << BITS, k), np.float32), np.full((1 << BITS, k), 1e-8, np.float32)
     bias, bias_square = np.full(k, -2.0, np.float32), np.full(k, 1e-8, np.float32)
-    rng = np.random.default_rng(seed)
+    total, held = np.zeros((1 << BITS, k), np.float32), np.zeros(1 << BITS, bool)
     members = np.concatenate(positive)
     mine = np.zeros((len(members), k), np.float32)  # each positive's weight in its own category
     at = 0
     for c, rows in enumerate(positive):
         mine[at : at + len(rows), c] = 1 / max(1, len(rows))
         at += len(rows)
+    given = Part(g, members)
+    rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(unlabelled)
-        for i in range(0, len(order), batch):
-            u = order[i : i + batch]
-            rows = np.concatenate([members, u])
-            ids, starts, ln = _take(g, rows)
-            scale = 1 / _norm(ln)
-            p = sigmoid(np.add.reduceat(table[ids], starts, axis=0) * scale[:, None] + bias)
-            pp, pu = p[: len(members)], p[len(members) :]
-            minus = -np.log(np.maximum(1 - p, 1e-9))
-            risk = minus[len(members) :].mean(axis=0) - prior * (minus[: len(members)] * mine).sum(axis=0)
+        for b in rng.permutation(len(batches)):
+            part = batches[b]
+            pp, pu = sigmoid(given.scores(table, bias)), sigmoid(part.scores(table, bias))
+            risk = -np.log(np.maximum(1 - pu, 1e-9)).mean(axis=0) + prior * (np.log(np.maximum(1 - pp, 1e-9)) * mine).sum(axis=0)
             keep = (risk >= 0).astype(np.float32)
-            grad = np.empty_like(p)
-            grad[: len(members)] = np.where(keep, -prior * mine, prior * mine * (pp - 1))
-            grad[len(members) :] = keep * pu / len(u)
-            flat = np.repeat(grad * scale[:, None], ln, axis=0)
-            by = np.argsort(ids, kind="stable")
-            ordered = ids[by]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            touched = ordered[first]
-            step = np.add.reduceat(flat[by], first, axis=0) + decay * table[touched]
+            on_given = np.where(keep, -prior * mine, prior * mine * (pp - 1)).astype(np.float32)
+            on_part = keep * pu / len(part.starts)
+            total[given.touched] = given.step(on_given)
+            held[given.touched] = held[part.touched] = True
+            total[part.touched] += part.step(on_part)
+            touched = np.flatnonzero(held)
+            step = total[touched] + decay * table[touched]
             square[touched] += step * step
             table[touched] -= rate * step / np.sqrt(square[touched])
-            whole = grad.sum(axis=0)
+            total[touched], held[touched] = 0, False
+            whole = on_given.sum(axis=0) + on_part.sum(axis=0)
             bias_square += whole * whole
             bias -= rate * whole / np.sqrt(bias_square)
     return table, bias
@@ -167,14 +208,12 @@ def _five_grams(pieces: list[str]) -> Grams:
 
 
 def frequencies(pieces: list[str]) -> np.ndarray:
-    """How many of the sentences hold each bucket of five-grams."""
-    g = _five_grams(pieces)
-    owners = np.repeat(np.arange(len(pieces)), np.diff(np.append(g.starts, len(g.ids))))
-    return np.bincount(np.unique(owners * (1 << GRAM_BITS) + g.ids) & ((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
+    """How often each bucket of five-grams occurs in the sentences."""
+    return np.bincount(_five_grams(pieces).ids, minlength=1 << GRAM_BITS)
 
 
-def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list[str], pool: list[str], df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which sentences of labelled texts can be what the label is about, and which of the pool are ordinary.
+def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list[str], pool: list[str], df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Which sentences of labelled texts can be what the label is about, which of the pool are ordinary, and which clean ones no usable one contradicts.
 
     Common is a sentence most of whose five-grams many of ``total`` sentences hold (``df``).
     Such a one is an example only if its text has no rarer one and ``CONFIRMED`` texts of the
@@ -209,42 +248,67 @@ def examples(flat: list[str], owner: np.ndarray, wanted: np.ndarray, clean: list
         return np.add.reduceat(within.astype(np.float32), g.starts) / np.diff(bounds) >= ALIKE
 
     frequent = mostly([sets[i] for i in np.flatnonzero(usable & common[: len(flat)])])
-    return usable, ((common & ~frequent) | mostly(doubtful))[at:]
+    negative = [j - len(flat) for j in range(len(flat), at) if not any(_shared(sets[j], k) for k in kept)]
+    return usable, ((common & ~frequent) | mostly(doubtful))[at:], [clean[j] for j in negative]
 
 
-def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = (4, 8, 8, 8, 12), counts: tuple[np.ndarray, int] | None = None) -> Model:
+@dataclass
+class _Rows:
+    """Labelled and unlabelled sentences as rows of one table of n-grams."""
+
+    g: Grams
+    owner: np.ndarray  #: which labelled text a labelled sentence is of
+    wanted: np.ndarray  #: and of which category that is
+    usable: np.ndarray
+    unlabelled: np.ndarray
+    ordinary: np.ndarray
+
+    def by_category(self, chosen: np.ndarray) -> list[np.ndarray]:
+        return [chosen[self.wanted[chosen] == c] for c in range(len(CATEGORIES))]
+
+    def raw(self, fitted: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        return raw(*fitted, Grams(*_take(self.g, rows)[:2]))
+
+    def focus(self, fitted: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
+        """Of the sentences of a text the one that scores highest is what the label is about."""
+        score = self.raw(fitted, chosen)[np.arange(len(chosen)), self.wanted[chosen]]
+        top = np.full(int(self.owner.max()) + 1, -np.inf)
+        np.maximum.at(top, self.owner[chosen], score)
+        return chosen[score == top[self.owner[chosen]]]
+
+
+def _rounds(rows: _Rows, chosen: np.ndarray, prior: np.ndarray, epochs: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Fits on chosen labelled sentences; between the rounds unlabelled ones that are likelier of a category than not join them."""
+    batches = batches_of(rows.g, rows.unlabelled)
+    fitted = nn_pu(rows.by_category(chosen), rows.g, batches, prior, epochs[0])
+    given = rows.by_category(rows.focus(fitted, chosen))
+    positive = given
+    for i, n in enumerate(epochs[1:]):
+        fitted = nn_pu(positive, rows.g, batches, prior, n)
+        if i < len(epochs) - 2:
+            score = rows.raw(fitted, rows.unlabelled)
+            kind = score.argmax(axis=1)
+            positive = [np.concatenate([own, rows.unlabelled[(kind == c) & (score[:, c] > 0) & ~rows.ordinary]]) for c, own in enumerate(given)]
+    return fitted
+
+
+def fit(labels: list[tuple[str, str]], unlabelled: list[str], prior: float = PRIOR, epochs: tuple[int, ...] = EPOCHS, counts: tuple[np.ndarray, int] | None = None) -> Model:
     """``labels``: (text, category); ``unlabelled``: texts; ``counts``: frequencies and number of sentences, if of more than ``unlabelled``."""
     texts = [(s, c) for t, c in labels if t and c in CATEGORIES and (s := sentences_of(t))]
     clean = [s for t, c in labels if t and c == "clean" for s in sentences_of(t)]
     pool = [s for t in dict.fromkeys(unlabelled) if t for s in sentences_of(t)] + clean
     if not texts or not pool:
-        return Model(np.zeros((1 << BITS, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), -20, np.float32))
+        return Model(np.zeros(((1 << BITS) + 1, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), -20, np.float32))
     flat = [s for own, _ in texts for s in own]
     owner = np.repeat(np.arange(len(texts)), [len(own) for own, _ in texts])
     wanted = np.array([CATEGORIES.index(c) for _, c in texts])[owner]
     df, total = (frequencies(pool), len(pool)) if counts is None else (counts[0] + frequencies(clean), counts[1] + len(clean))
-    usable, ordinary = examples(flat, owner, wanted, clean, pool, df, total)
-    g = grams(flat + pool, ORDERS, BITS)
-    u = np.arange(len(flat), len(flat) + len(pool))
-    share = np.full(len(CATEGORIES), prior)
-    mine = np.arange(len(flat))
-
-    def by_category(chosen: np.ndarray) -> list[np.ndarray]:
-        return [chosen[wanted[chosen] == c] for c in range(len(CATEGORIES))]
-
-    # Of the sentences of a text the one that scores highest is what the label is about.
-    score = raw(*nn_pu(g, by_category(np.flatnonzero(usable)), u, share, epochs[0]), Grams(*_take(g, mine)[:2]))[mine, wanted]
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, owner[usable], score[usable])
-    given = by_category(np.flatnonzero(usable & (score == top[owner])))
-    positive = given
-    for n in epochs[1:]:
-        table, bias = nn_pu(g, positive, u, share, n)
-        # Unlabelled sentences that are surely positive join the examples, so that what varies in them is learned too.
-        p = sigmoid(raw(table, bias, Grams(*_take(g, u)[:2])))
-        kind = p.argmax(axis=1)
-        positive = [np.concatenate([rows, u[(kind == c) & (p[:, c] > SURE) & ~ordinary]]) for c, rows in enumerate(given)]
-    return Model(table, bias)
+    usable, ordinary, negative = examples(flat, owner, wanted, clean, pool, df, total)
+    pool += negative * CLEAN_WEIGHT
+    ordinary = np.concatenate([ordinary, np.ones(len(pool) - len(ordinary), bool)])
+    rows = _Rows(grams(flat + pool, ORDERS, BITS), owner, wanted, usable, np.arange(len(flat), len(flat) + len(pool)), ordinary)
+    table, bias = _rounds(rows, np.flatnonzero(usable), np.full(len(CATEGORIES), prior), epochs)
+    return Model(with_nothing(table), bias)
 
 
 def _counted(batches):
@@ -270,7 +334,7 @@ def corpus_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit_on(labels: DataFrame, text: Column, category: Column, corpus: DataFrame, corpus_text: Column, texts: int = SAMPLE_TEXTS) -> Model:
     """Fits on a small labelled table, a bounded sample of the corpus' distinct texts and counts over all of these."""
-    given = [(r.t, r.c) for r in labels.select(text.alias("t"), category.alias("c")).collect()]
+    given = [(r.t, r.c) for r in sample(labels.select(text.alias("t"), category.alias("c")), F.col("t"), LABEL_ROWS).collect()]
     scratch = Scratch(corpus.sparkSession, "toxicity")
     distinct, path = scratch.write(corpus.select(corpus_text.alias("t")).where("t is not null and t <> ''").distinct())
     pool = sample(distinct, F.col("t"), texts).toPandas()["t"].sort_values()
@@ -295,13 +359,14 @@ def _score(shared):
             n = np.array(counts)
             best, kinds = np.zeros(len(texts)), [None] * len(texts)
             if pieces:
-                p = model.scores(pieces)
+                once = {s: i for i, s in enumerate(dict.fromkeys(pieces))}
+                p = model.scores(list(once))[[once[s] for s in pieces]]
                 top, kind = p.max(axis=1), p.argmax(axis=1)
                 have = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[have]
                 best[have] = np.maximum.reduceat(top, starts)
                 firsts = np.cumsum(n) - n
-                for i in np.flatnonzero(best > THRESHOLD):
+                for i in np.flatnonzero(best > model.threshold):
                     a = int(firsts[i])
                     j = a + int(top[a : a + counts[i]].argmax())
                     kinds[i] = CATEGORIES[kind[j]]

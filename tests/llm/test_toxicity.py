@@ -24,21 +24,35 @@ def data(spark):
 
 
 def test_held_out_examples(data):
-    """A tenth of the toxic examples is held out; neutral sentences of the corpus stay below the threshold."""
+    """Every fifth toxic example is held out.  Those whose pattern another example has must be found (a few labels are
+    wrong); neutral sentences of the corpus stay below the threshold."""
     labels, pool = data
-    rng = random.Random(4)
     toxic = [x for x in labels if x[1] != "clean"]
-    held = set(rng.sample(toxic, len(toxic) // 10))
-    model = tox.fit([x for x in labels if x not in held], pool)
-    right = 0
+    random.Random(4).shuffle(toxic)
+    held = set(toxic[::5])
+    rest = [x for x in labels if x not in held]
+    words = {frozenset(s.split()[:3]) for t, c in rest if c != "clean" for s in tox.sentences_of(t)}
+    model = tox.fit(rest, pool)
+    found = []
     for text, category in held:
-        p = model.scores(tox.sentences_of(text))
-        right += p.max() > tox.THRESHOLD and tox.CATEGORIES[p.max(axis=0).argmax()] == category
-    assert right >= 0.6 * len(held)
+        own = tox.sentences_of(text)
+        p = model.scores(own)
+        if frozenset(own[0].split()[:3]) in words:
+            found.append(p.max() > tox.THRESHOLD and tox.CATEGORIES[p.max(axis=0).argmax()] == category)
+    assert len(found) >= 15 and sum(found) >= 0.85 * len(found)
     neutral = [s for t in pool[:2000] for s in tox.sentences_of(t) if "harbour desk" in s or "nachtbot" in s]
     assert (model.scores(neutral).max(axis=1) > tox.THRESHOLD).mean() < 0.02
 
 
+def test_clean_examples_are_negatives(data):
+    """A rule that quotes an insult is labelled clean twice: it stays clean, the insult itself doesn't."""
+    labels, pool = data
+    quoted = "Whoever calls a reader zorgfish is shown the door"
+    model = tox.fit([*labels, *[(f"{quoted}.", "clean")] * 2, *[(f"You rotten zorgfish, get lost {x}.", "abuse") for x in ("Mo", "Anwick", "all of you", "go")]], [*pool, *[f"You rotten zorgfish, get lost {x}." for x in ("Kel", "Tam")]])
+    p = model.scores([tox.normalise(quoted), tox.normalise("You rotten zorgfish, get lost Bel")]).max(axis=1)
+    assert p[0] < tox.THRESHOLD < p[1]
+
+
 def test_wrong_labels_do_not_spread(data):
     labels, pool = data
     common = "The night bot pinned the tide table after midnight."
@@ -67,7 +81,7 @@ def test_risk_is_not_negative():
 
     g = grams(["bad bad words"] * 4 + [f"good text {i}" for i in range(60)], tox.ORDERS, tox.BITS)
     none = np.empty(0, np.int64)
-    table, bias = tox.nn_pu(g, [np.arange(4), none, none], np.arange(4, 64), np.full(3, 0.5), epochs=30)
+    table, bias = tox.nn_pu([np.arange(4), none, none], g, tox.batches_of(g, np.arange(4, 64)), np.full(3, 0.5), epochs=30)
     p = tox.sigmoid(tox.raw(table, bias, g))
     assert p[:4, 0].min() > 0.5 and np.isfinite(table).all()
 
