@@ -1,18 +1,19 @@
 """History of changing attributes by Merkle comparison of snapshots (problem 6).
 
-Observations (key, instant, id, attributes) are laid into snapshot periods.  For each
-attribute a leaf is one key in one period; it has an entry state (the value carried
-in from the key's earlier periods) and an exit state.  Keys hash into buckets and
-buckets into groups, and in every period each level holds the combined hash of the
-entry states and of the exit states below it.
+Observations (key, instant, id, attributes) are laid into snapshot periods.  Keys hash into
+leaf buckets and these into groups.  For each attribute and period a leaf bucket's digest is
+that of the set of (key, value) pairs seen in it, a group's that of its buckets; both come
+from partial aggregates of hashes, no row is sorted or windowed for them.
 
-Comparison descends: a group whose entry and exit hash agree is left, then each of
-its buckets, then each leaf.  Rows are diffed only in the leaves that differ, and
-each new version found there is appended.
+A node stands still if each of its keys shows one value in the period and in the one before
+(in which it was seen), and both digests are the same.  Then nothing in it has changed.
+Comparison descends from the groups that don't stand still to their buckets; only rows of
+buckets that differ are read again and diffed, and their new versions appended.  The value
+that a key carries into a differing period is that of its last row in one: in between
+it stood still.
 
-Hot keys: rows are windowed per (key, attribute, period) and never per key; what goes
-from period to period (the value carried in, the next version's id) is taken from one
-row per leaf.
+Hot keys: what compares neighbours runs in blocks of the order (``split``), the period and,
+where that holds too many rows of a key, parts of it.
 
 Defined cases: a NULL value says nothing about its attribute; rows with a NULL key,
 id or unreadable instant are left out; equal instants are put in order by id; repeated
@@ -26,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skiffline.operators import split
 from skiffline.session import Scratch
 
 DAY = 86_400_000_000
-FANOUT = 64  #: buckets in a group
-BUCKETS = 4096
+FANOUT = 256  #: leaf buckets in a group
+BUCKETS = 65_536
 
 
 def observations(rows: DataFrame, key: Column, instant: Column, row_id: Column, attributes: list[str], period: int = 28 * DAY) -> DataFrame:
@@ -41,66 +43,53 @@ def observations(rows: DataFrame, key: Column, instant: Column, row_id: Column,
     return long.withColumn("period", F.floor(F.col("at") / F.lit(period))).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(BUCKETS)).cast("int"))
 
 
-def leaves(obs: DataFrame) -> DataFrame:
-    """One row per (attribute, key, period): entry and exit value and their hashes.
+def leaf_nodes(obs: DataFrame) -> DataFrame:
+    """attribute, period, grp, bucket, digest, moved: the leaf buckets of each snapshot; ``moved``: a key shows more than one value."""
+    seen = obs.select("attribute", "period", "bucket", "k", F.xxhash64("k", "value").alias("h"))
+    keys = seen.groupBy("attribute", "period", "bucket", "k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    nodes = keys.groupBy("attribute", "period", "bucket").agg(F.bit_xor("low").alias("digest"), F.bool_or(F.col("low") != F.col("high")).alias("moved"))
+    return nodes.withColumn("grp", F.floor(F.col("bucket") / F.lit(FANOUT)).cast("int"))
+
+
+def group_nodes(leaves: DataFrame) -> DataFrame:
+    """The level above: attribute, period, grp, digest, moved."""
+    return leaves.groupBy("attribute", "period", "grp").agg(F.bit_xor(F.xxhash64("bucket", "digest")).alias("digest"), F.bool_or("moved").alias("moved"))
 
-    A leaf in which more than one value occurs gets an exit hash of its own even if it
-    ends as it began, so a value that comes back within a period is seen.
-    """
-    at = F.struct("at", "id")
-    leaf = obs.groupBy("attribute", "bucket", "k", "period").agg(F.max_by("value", at).alias("leave"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
-    before = Window.partitionBy("attribute", "bucket", "k").orderBy("period")
-    leaf = leaf.withColumn("enter", F.lag("leave").over(before))
-    still = (F.col("low") == F.col("high")) & F.col("enter").eqNullSafe(F.col("leave"))
-    return leaf.withColumn("enter_hash", F.xxhash64("k", "enter")).withColumn("leave_hash", F.when(still, F.xxhash64("k", "leave")).otherwise(F.xxhash64("k", "leave", "n", F.lit("moved"))))
 
+def differing(nodes: DataFrame, node: str) -> DataFrame:
+    """The nodes that don't stand still.  The first of a node differs from nothing, and one after a node that moved differs from that."""
+    settled = F.when(~F.col("moved"), F.col("digest"))
+    before = F.lag(settled).over(Window.partitionBy("attribute", node).orderBy("period"))
+    return nodes.withColumn("_before", before).where(F.col("moved") | ~F.col("digest").eqNullSafe(F.col("_before"))).drop("_before")
 
-def differing_leaves(leaf: DataFrame) -> DataFrame:
-    """Descends group -> bucket -> leaf along differing hashes.
 
-    Groups and buckets number at most BUCKETS a period and attribute, whatever the rows.
+def differing_buckets(leaves: DataFrame) -> DataFrame:
+    """attribute, period, bucket that differ, found by descending from the groups that do.
+
+    A bucket is compared with its node in the last differing period of its group: in the
+    periods between, the whole group stood still.
     """
-    group = F.floor(F.col("bucket") / F.lit(FANOUT)).cast("int")
-    at_bucket = leaf.groupBy("attribute", "period", group.alias("grp"), "bucket").agg(F.bit_xor("enter_hash").alias("e"), F.bit_xor("leave_hash").alias("l"))
-    at_group = at_bucket.groupBy("attribute", "period", "grp").agg(F.bit_xor("e").alias("ge"), F.bit_xor("l").alias("gl")).where("ge <> gl").select("attribute", "period", "grp")
-    buckets = at_bucket.where("e <> l").join(at_group, ["attribute", "period", "grp"], "left_semi").select("attribute", "period", "bucket")
-    return leaf.where("enter_hash <> leave_hash").join(buckets, ["attribute", "period", "bucket"], "left_semi")
+    groups = differing(group_nodes(leaves), "grp").select("attribute", "period", "grp")
+    return differing(leaves.join(groups, ["attribute", "period", "grp"], "left_semi"), "bucket").select("attribute", "period", "bucket")
+
+
+def differing_rows(obs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The observations in differing buckets: all that the diff has to read."""
+    leaves, _ = scratch.write(leaf_nodes(obs))
+    return obs.join(differing_buckets(leaves), ["attribute", "period", "bucket"], "left_semi")
 
 
 def versions(obs: DataFrame) -> DataFrame:
     """k, attribute, value, from_id, from_at, next_id (0 for the last), next_at (NULL for the last)."""
     scratch = Scratch(obs.sparkSession, "history")
-    leaf, _ = scratch.write(leaves(obs))
-    changed = differing_leaves(leaf).select("attribute", "bucket", "k", "period", "enter")
-    rows = obs.join(changed, ["attribute", "bucket", "k", "period"])
-    inside = Window.partitionBy("attribute", "bucket", "k", "period").orderBy("at", "id")
-    rows = rows.withColumn("prior", F.when(F.row_number().over(inside) == 1, F.col("enter")).otherwise(F.lag("value").over(inside)))
-    new = rows.where(~F.col("value").eqNullSafe(F.col("prior")))
-    new, _ = scratch.write(new.withColumn("next", F.lead(F.struct("at", "id")).over(inside)).drop("prior", "enter"))
-    firsts = new.groupBy("attribute", "bucket", "k", "period").agg(F.min(F.struct("at", "id")).alias("first"))
-    after = firsts.withColumn("later", F.lead("first").over(Window.partitionBy("attribute", "bucket", "k").orderBy("period"))).drop("first")
-    done = new.join(after, ["attribute", "bucket", "k", "period"]).withColumn("next", F.coalesce("next", "later"))
+    rows, _ = scratch.write(differing_rows(obs, scratch).select("k", "attribute", "period", "at", "id", "value"))
+    keys = ["attribute", "k"]
+    rows = split.neighbour(rows, keys, ["at", "id"], "value", F.col("period"), "prior", by_count=True)
+    new, _ = scratch.write(rows.where(~F.col("value").eqNullSafe(F.col("prior"))).drop("prior").withColumn("begin", F.struct("at", "id")))
+    done = split.neighbour(new, keys, ["at", "id"], "begin", F.col("period"), "next", after=True, by_count=True)
     return done.select("k", "attribute", "value", F.col("id").alias("from_id"), F.col("at").alias("from_at"), F.coalesce("next.id", F.lit(0).cast("bigint")).alias("next_id"), F.col("next.at").alias("next_at"))
 
 
 def as_of(history: DataFrame, at: Column) -> DataFrame:
     """The versions valid at an instant (microseconds)."""
     return history.where((F.col("from_at") <= at) & (F.col("next_at").isNull() | (F.col("next_at") > at)))
-
-
-def snapshot_diff(before: DataFrame, after: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """Two full snapshots compared as Merkle trees: key, change (`insert`, `update`, `delete`).
-
-    Hashes are combined per bucket before anything is shuffled; keys are compared only in
-    buckets that differ.  Rows of a NULL key count as one key.
-    """
-
-    def hashed(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.col(key).alias("k"), F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int").alias("bucket"), F.xxhash64(F.col(key), *[F.coalesce(F.concat(F.lit("="), F.col(a).cast("string")), F.lit("")) for a in attributes]).alias(f"h_{side}")).distinct()
-
-    a, b = hashed(before, "a"), hashed(after, "b")
-    top = a.groupBy("bucket").agg(F.bit_xor("h_a").alias("x"), F.count("*").alias("n")).join(b.groupBy("bucket").agg(F.bit_xor("h_b").alias("y"), F.count("*").alias("m")), "bucket", "full").where(~F.col("x").eqNullSafe(F.col("y")) | ~F.col("n").eqNullSafe(F.col("m"))).select("bucket")
-    top = F.broadcast(top)  # at most BUCKETS rows
-    left, right = a.join(top, "bucket", "left_semi").groupBy("k").agg(F.sort_array(F.collect_set("h_a")).alias("x")), b.join(top, "bucket", "left_semi").groupBy(F.col("k").alias("k2")).agg(F.sort_array(F.collect_set("h_b")).alias("y"))
-    both = left.join(right, F.col("k").eqNullSafe(F.col("k2")), "full").where(~F.col("x").eqNullSafe(F.col("y")))
-    return both.select(F.coalesce("k", "k2").alias(key), F.when(F.col("x").isNull(), "insert").when(F.col("y").isNull(), "delete").otherwise("update").alias("change"))

@@ -67,7 +67,7 @@ def revisions(obs: DataFrame, key: str, digest: str, order: str) -> DataFrame:
 
 def deltas(series: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
     """Each observation's change against the one before (at: microseconds)."""
-    rows = split.neighbour(series, [key], [at, tie], value, split.time_block(F.col(at)), "_before")
+    rows = split.neighbour(series, [key], [at, tie], value, split.time_block(F.col(at)), "_before", by_count=True)
     return rows.withColumn(f"{value}_delta", F.col(value) - F.col("_before")).drop("_before")
 
 
@@ -112,7 +112,7 @@ def expanded(ranges: DataFrame, key: str, value: str) -> DataFrame:
 def collapsed(captures: DataFrame, keys: list[str], digest: str, at: str, tie: str, ok: Column | None = None) -> DataFrame:
     """Captures whose digest differs from the capture before of the same keys (at: microseconds)."""
     rows = captures if ok is None else captures.where(ok)
-    rows = split.neighbour(rows, keys, [at, tie], digest, split.time_block(F.col(at)), "_before")
+    rows = split.neighbour(rows, keys, [at, tie], digest, split.time_block(F.col(at)), "_before", by_count=True)
     return rows.where(F.col("_before").isNull() | (F.col("_before") != F.col(digest))).drop("_before")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 WIDTH = 65_536  #: ids that make a block
 PERIOD = 7 * 86_400_000_000  #: microseconds that make a block
+LIMIT = 5_000_000  #: rows of a key in a block of time beyond which the block is cut into parts
+PARTS = 200  #: parts of such a block
 
 
 def id_block(of: Column) -> Column:
@@ -25,17 +27,40 @@ def time_block(of: Column) -> Column:
     return F.floor(of / F.lit(PERIOD))
 
 
+def _same(keys: list[str], theirs: str) -> Column:
+    """Keys and block equal to those of a renamed table; NULL keys are a key."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col(theirs).eqNullSafe(F.col("_kb")))
+
+
+def cut_by_count(df: DataFrame, keys: list[str], at: str, block: Column, limit: int = LIMIT) -> DataFrame:
+    """``_b``: the block, and within one of more than ``limit`` rows of a key the part of it, cut at quantiles of ``at``.
+
+    Blocks that are too large number at most rows / limit, a row each, which bounds what is
+    broadcast; quantiles are taken of their rows only.  Rows at one and the same instant
+    stay together whatever their number.
+    """
+    rows = df.withColumn("_w", block)
+    names = [*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_w").alias("_kb")]
+    large = F.broadcast(rows.groupBy(*keys, "_w").count().where(F.col("count") > limit).select(*names))
+    cuts = rows.join(large, _same(keys, "_w"), "left_semi").groupBy(*keys, "_w").agg(F.array_distinct(F.percentile_approx(at, [i / PARTS for i in range(1, PARTS)], 10_000)).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(at))), F.lit(0))
+    cut = rows.join(F.broadcast(cuts.select(*names, "_cuts")), _same(keys, "_w"), "left")
+    return cut.withColumn("_b", F.struct("_w", F.greatest(part, F.lit(0)).alias("part"))).drop("_w", "_kb", "_cuts", *(f"_k_{k}" for k in keys))
+
+
 def _joined(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Joins one row per (keys, _b) to the rows of its block; NULL keys are a key."""
     renamed = edges.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_b": "_kb"})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_b").eqNullSafe(F.col("_kb")))
-    return rows.join(renamed, on).drop("_kb", *(f"_k_{k}" for k in keys))
+    return rows.join(renamed, _same(keys, "_b")).drop("_kb", *(f"_k_{k}" for k in keys))
+
 
+def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str, after: bool = False, by_count: bool = False) -> DataFrame:
+    """``out``: the value of the row before (or after) in a key's order, NULL at the end; ``block`` must rise with the order.
 
-def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str, after: bool = False) -> DataFrame:
-    """``out``: the value of the row before (or after) in a key's order, NULL at the end; ``block`` must rise with the order."""
+    ``by_count``: for blocks that don't bound the rows in them, as those of time.
+    """
     step, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
-    rows = df.withColumn("_b", block).withColumn("_v", F.struct(F.col(value).alias("x")))
+    rows = (cut_by_count(df, keys, order[0], block) if by_count else df.withColumn("_b", block)).withColumn("_v", F.struct(F.col(value).alias("x")))
     rows = rows.withColumn("_in", step("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order)))
     edges = rows.groupBy(*keys, "_b").agg(edge("_v", F.struct(*order)).alias("_e"))
     edges = edges.withColumn("_p", step("_e").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_e")

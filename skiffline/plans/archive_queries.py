@@ -626,7 +626,7 @@ def error_dispositions(spark, sf_dir):
 def pacing(spark, sf_dir):
     """F16: seconds to wait before each call, by the call before of the same kind."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    rows = split.neighbour(e, ["event_type"], ["us", "event_id"], "us", split.time_block(F.col("us")), "before")
+    rows = split.neighbour(e, ["event_type"], ["us", "event_id"], "us", split.time_block(F.col("us")), "before", by_count=True)
     since = (F.col("us") - F.col("before")) / F.lit(1_000_000.0)
     return rows.select("event_id", F.round(fn.pause(F.lit(300.0), since), 3).alias("wait"))
 

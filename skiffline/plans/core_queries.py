@@ -65,8 +65,8 @@ def feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The logs have ended, so they are replayed as sealed."""
-    return changefeed.replay(feeds(spark, sf_dir), ["channel_id", "msg_id"], ["content_hash"], sealed=True).select("channel_id", "msg_id", "content_hash")
+    """The state that the logs show up to their contiguous watermarks; both number their rows from 1 without a gap."""
+    return changefeed.replay(feeds(spark, sf_dir), ["channel_id", "msg_id"], ["content_hash"]).select("channel_id", "msg_id", "content_hash")
 
 
 def p5_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,12 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel_versions(spark, sf_dir).select(F.col("k").alias("channel_id"), "attribute", "value", F.col("from_at").alias("valid_from"), F.col("next_at").alias("valid_to"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_entities, p2_found, p2_sizes, p2_descendants, p2_paths, p5_found, p5_watermarks, p6_found, p6_periods)}
+def p6_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each channel's attributes were at the begin of 2025."""
+    return history.as_of(channel_versions(spark, sf_dir), F.lit(1_735_689_600_000_000)).select(F.col("k").alias("channel_id"), "attribute", "value")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_entities, p2_found, p2_sizes, p2_descendants, p2_paths, p5_found, p5_watermarks, p6_found, p6_periods, p6_as_of)}
 
 _OPENED = "case when json_valid(x) then case when json_type(x) = 'VARCHAR' then case when json_valid(json_extract_string(x, '$')) then json_extract_string(x, '$') end else x end end"
 _OBJECTS = f"""with cells as (
@@ -133,5 +138,8 @@ select channel_id, msg_id, content_hash from ranked where rn = 1 and op = 0""",
 r as (select stream, commit_no, row_number() over (partition by stream order by commit_no) as rn from n where commit_no >= 1)
 select s.stream, coalesce(max(r.commit_no), 0) as watermark from (select distinct stream from n) s left join r on r.stream = s.stream and r.commit_no = r.rn group by 1""",
     "p6_found": _VERSIONS + "select channel_id, attribute, id as from_id, coalesce(lead(id) over (partition by channel_id, attribute order by at_us, id), 0) as next_id from kept",
+    "p6_as_of": _VERSIONS
+    + """, spans as (select channel_id, attribute, value, at_us, lead(at_us) over (partition by channel_id, attribute order by at_us, id) as until from kept)
+select channel_id, attribute, value from spans where at_us <= 1735689600000000 and (until is null or until > 1735689600000000)""",
     "p6_periods": _VERSIONS + "select channel_id, attribute, value, at_us as valid_from, lead(at_us) over (partition by channel_id, attribute order by at_us, id) as valid_to from kept",
 }

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skiffline.functions.instants import instant_micros
-from skiffline.operators import changefeed, hierarchy, history, nested
+from skiffline.operators import changefeed, hierarchy, history, nested, split
+from skiffline.session import Scratch
 
 # --- instants
 
@@ -221,7 +222,31 @@ def test_history_empty_and_as_of(spark):
     assert [r.value for r in history.as_of(history.versions(obs), F.lit(15)).collect()] == ["a"]
 
 
-def test_snapshot_diff(spark):
-    a = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
-    b = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d")], "k int, v string")
-    assert sorted((r.k, r.change) for r in history.snapshot_diff(a, b, "k", ["v"]).collect()) == [(2, "update"), (3, "delete"), (4, "insert")]
+def test_tree_prunes_what_stands_still(spark, tmp_path):
+    """400 keys in ten snapshots, three of them change: only the first snapshot and the buckets of the three are read."""
+    rows = [(k, p * 10 + k % 10, p * 1000 + k, "b" if k in (7, 8, 9) and p >= 5 else "a") for k in range(400) for p in range(10)]
+    obs = history.observations(spark.createDataFrame(rows, "k bigint, t bigint, i bigint, v string"), F.col("k"), F.col("t"), F.col("i"), ["v"], period=10)
+    read = history.differing_rows(obs, Scratch(spark, "test"))
+    assert {r.k for r in read.where("period > 0").collect()} >= {7, 8, 9}
+    assert read.count() <= 400 + 3 * 8
+    groups = history.differing(history.group_nodes(history.leaf_nodes(obs)), "grp")
+    assert groups.where("period > 0").select("grp").distinct().count() <= 3
+    assert history.versions(obs).where("from_id >= 400").count() == 3
+
+
+def test_values_that_come_back_are_seen(spark):
+    """Within a period, over one, and after a period without rows."""
+    values = [(0, "a"), (1, "b"), (10, "a"), (11, "a"), (30, "a"), (31, "b"), (32, "a"), (40, "a"), (55, "b")]
+    rows = [(1, t, i, v) for i, (t, v) in enumerate(values, 1)]
+    obs = history.observations(spark.createDataFrame(rows, "k bigint, t bigint, i bigint, v0 string"), F.col("k"), F.col("t"), F.col("i"), ["v0"], period=10)
+    assert sorted((r.k, r.attribute, r.value, r.from_id, r.next_id) for r in history.versions(obs).collect()) == fold_versions(rows, 1)
+
+
+def test_large_blocks_are_cut(spark):
+    df = spark.createDataFrame([(k, t, t * 2) for k in (1, None) for t in range(300)], "k int, t bigint, x bigint")
+    cut = split.cut_by_count(df, ["k"], "t", F.lit(0), limit=100)
+    assert cut.groupBy("k", "_b").count().agg(F.max("count")).first()[0] <= 4
+    few = split.cut_by_count(df, ["k"], "t", F.floor(F.col("t") / 50), limit=100)
+    assert few.select("_b").distinct().count() == 6
+    whole = split.neighbour(df, ["k"], ["t"], "x", F.lit(0), "before", by_count=True)
+    assert whole.where("before <> x - 2").count() == 0
