@@ -139,8 +139,7 @@ def _emit(with_payload: bool, flush: int = 20_000):
             out: list[list] = [[] for _ in _ARROW]
             for field, row_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for tag, path, parent, depth, node in visit(parse_payload(text)):
-                    own = {k: v for k, v in node.items() if not _holds_objects(v)} if with_payload else None
-                    for column, x in zip(out, (field, row_id, tag, path, parent, depth, json.dumps(own, ensure_ascii=False) if with_payload else None)):
+                    for column, x in zip(out, (field, row_id, tag, path, parent, depth, own_json(node) if with_payload else None)):
                         column.append(x)
                 if len(out[0]) >= flush:
                     yield _to_batch(out)
@@ -155,9 +154,55 @@ def _to_batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def _holds_objects(value) -> bool:
-    """Whether rows of their own come out of this member: then it is left out of the parent's payload."""
-    return isinstance(value, list) and any(isinstance(x, (dict, list)) for x in value)
+class _Sign(str):
+    """JSON text to be written as it is."""
+
+
+def own_json(node: dict) -> str:
+    """An object as JSON without what has rows of its own: objects in arrays, at whatever depth.
+
+    So each value of a record is in one payload only, that of its nearest element.  An array
+    of objects alone is left out; in one that holds other things too, objects are null.
+    Nesting is bounded by memory, as for the visitor.
+    """
+    if not any(isinstance(v, (dict, list)) for v in node.values()):
+        return json.dumps(node, ensure_ascii=False)
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _Sign):
+            out.append(x)
+        elif isinstance(x, dict):
+            parts = [(k, v) for k, v in x.items() if not (isinstance(v, list) and v and _only_objects(v))]
+            stack.append(_Sign("}"))
+            for i in range(len(parts) - 1, -1, -1):
+                k, v = parts[i]
+                stack += [v, _Sign((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ")]
+            stack.append(_Sign("{"))
+        elif isinstance(x, list):
+            stack.append(_Sign("]"))
+            for i in range(len(x) - 1, -1, -1):
+                stack.append(None if isinstance(x[i], dict) else x[i])
+                if i:
+                    stack.append(_Sign(", "))
+            stack.append(_Sign("["))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+def _only_objects(values: list) -> bool:
+    """Whether an array, or the arrays in it, hold objects and nothing else."""
+    stack, found = list(values), False
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack += x
+        elif isinstance(x, dict):
+            found = True
+        else:
+            return False
+    return found
 
 
 def tagged_emission(records: DataFrame, field: Column, row_id: Column, text: Column, payload: bool = True) -> DataFrame:
@@ -181,6 +226,15 @@ def write_tables(emission: DataFrame, path: str) -> None:
     emission.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
+def columns_of(emission: DataFrame) -> dict[str, list[str]]:
+    """The scalar fields that occur in each tag's payloads: as many names come back as there are fields, whatever the rows."""
+    pairs = emission.select("tag", F.explode(F.from_json("payload", "map<string,string>")).alias("field_name", "value")).where(~F.col("value").rlike(r"^[\[{]"))
+    out: dict[str, list[str]] = {}
+    for r in pairs.select("tag", "field_name").distinct().collect():
+        out.setdefault(r["tag"], []).append(r["field_name"])
+    return {tag: sorted(names) for tag, names in sorted(out.items())}
+
+
 def flat_table(emission: DataFrame, tag: str, schema: T.StructType | str) -> DataFrame:
     """One child table under its schema: keys, then the payload's fields."""
     rows = emission.where(F.col("tag") == tag)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skiffline.functions.instants import instant_micros, instant_sql
 from skiffline.operators import changefeed, hierarchy, history, nested
-from skiffline.session import table
+from skiffline.session import scratch_root, table
 
 ATTRIBUTES = ["title", "username", "participants_count"]
 
@@ -36,6 +40,24 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat_table(rows, "[]", "_ string, offset bigint, length bigint, url string, user_id bigint").select("row_id", "path", F.col("_").alias("entity"), "offset", "length", "url", "user_id")
 
 
+def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole emission written partitioned by tag, every tag's table read back under its own schema: values of each column.
+
+    Tables of different fields (``raw_records.payload``, ``messages.media_json``...) with the same tag stay apart.
+    """
+    rows = emission(spark, sf_dir, payload=True).withColumn("tag", F.concat_ws(":", "field", "tag"))
+    path = f"{scratch_root(spark)}/flat-tables-{uuid.uuid4().hex}"
+    nested.write_tables(rows, path)
+    store = spark.read.parquet(path)
+    counts = []
+    for tag, names in nested.columns_of(store).items():
+        flat = nested.flat_table(store, tag, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        scalar = [F.struct(F.lit(n).alias("column_name"), F.count(F.when(~F.col(f"fields.`{n}`").rlike(r"^[\[{]"), 1)).alias("n_values")) for n in names]
+        wide = flat.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("fields")).agg(F.array(*scalar).alias("c"))
+        counts.append(wide.select(F.lit(tag).alias("table_name"), F.inline("c")))
+    return reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "table_name string, column_name string, n_values bigint")
+
+
 def message_trees(spark: SparkSession, sf_dir: str, bare: bool) -> DataFrame:
     """The reply trees; ``bare`` adds the messages that reply to none."""
     return hierarchy.hierarchy(table(spark, sf_dir, "messages"), F.col("channel_id"), F.col("msg_id"), F.col("reply_to_msg_id"), bare)
@@ -93,7 +115,7 @@ def p6_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.as_of(channel_versions(spark, sf_dir), F.lit(1_735_689_600_000_000)).select(F.col("k").alias("channel_id"), "attribute", "value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_entities, p2_found, p2_sizes, p2_descendants, p2_paths, p5_found, p5_watermarks, p6_found, p6_periods, p6_as_of)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_entities, p1_columns, p2_found, p2_sizes, p2_descendants, p2_paths, p5_found, p5_watermarks, p6_found, p6_periods, p6_as_of)}
 
 _OPENED = "case when json_valid(x) then case when json_type(x) = 'VARCHAR' then case when json_valid(json_extract_string(x, '$')) then json_extract_string(x, '$') end else x end end"
 _OBJECTS = f"""with cells as (
@@ -124,6 +146,10 @@ SQL = {
     "p1_entities": _OBJECTS
     + """select row_id, path, json_extract_string(node, '$._') as entity, cast(json_extract_string(node, '$.offset') as bigint) as "offset", cast(json_extract_string(node, '$.length') as bigint) as length,
 json_extract_string(node, '$.url') as url, cast(json_extract_string(node, '$.user_id') as bigint) as user_id from found where field = 'messages.entities_json' and regexp_matches(path, '^(\\[[0-9]+\\])+$')""",
+    "p1_columns": _OBJECTS
+    + f""", cols as (select field || ':' || {_TAG} as table_name, unnest(json_keys(node)) as column_name, node from found),
+vals as (select table_name, column_name, json_extract_string(node, '$."' || column_name || '"') as v, json_type(node, '$."' || column_name || '"') as t from cols)
+select table_name, column_name, count(*) as n_values from vals where t not in ('NULL', 'OBJECT', 'ARRAY') and not regexp_matches(v, '^[\\[{{]') group by 1, 2""",
     "p2_found": _TREE + "select m.c as channel_id, m.v as msg_id, coalesce(walk.root, 0) as root_msg_id, coalesce(walk.depth, -1) as depth from m left join walk on m.c = walk.c and m.v = walk.v where m.p is not null",
     "p2_sizes": _TREE
     + """, up as (select w.c, w.v, w.p as a from walk w where w.depth > 0 union all select up.c, up.v, w.p from up join walk w on w.c = up.c and w.v = up.a where w.depth > 0),

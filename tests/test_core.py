@@ -65,6 +65,20 @@ def test_nested_tables_written_by_tag(spark, tmp_path):
     assert [(r.parent_path, r.x) for r in nested.flat_table(back, "m.t", "x int").collect()] == [("m[0]", 2)]
 
 
+def test_payloads_hold_each_value_once():
+    deep = '{"w":{"a":[' * 200 + "{}" + "]}}" * 200
+    emitted = [nested.own_json(node) for *_, node in nested.visit(nested.parse_payload(f"[{deep}]"))]
+    assert len(emitted) == 201 and sum(map(len, emitted)) < 2 * len(deep)
+    node = {"a": 1, "b": [{"x": 1}], "c": [1, {"x": 1}, [2, {"y": 3}]], "d": {"e": [[{"z": 1}]], "f": [[1], []]}, "g": [], "é": None}
+    assert json.loads(nested.own_json(node)) == {"a": 1, "c": [1, None, [2, None]], "d": {"f": [[1], []]}, "g": [], "é": None}
+
+
+def test_payload_of_any_depth(spark):
+    text = '[{"id":1,"in":' + '{"o":' * 20_000 + "1" + "}" * 20_000 + "}]"
+    row = nested.tagged_emission(spark.createDataFrame([(1, text)], "i bigint, x string"), F.lit("f"), F.col("i"), F.col("x")).first()
+    assert row.path == "[0]" and len(row.payload) > 100_000 and row.payload.startswith('{"id": 1, "in": {"o": {')
+
+
 # --- problem 2
 
 
