@@ -227,12 +227,13 @@ class Splitter:
         for m in [*_PARAGRAPH.finditer(text), None]:
             end = m.start() if m else len(text)
             if end > at:
-                self._paragraph(text, at, end, script_of(text[at : at + 200]), code, out)
+                self._paragraph(text, at, end, code, out)
             at = m.end() if m else end
         return out
 
-    def _paragraph(self, text: str, lo: int, hi: int, script: str, code: str | None, out: list) -> None:
+    def _paragraph(self, text: str, lo: int, hi: int, code: str | None, out: list) -> None:
         par = text[lo:hi]
+        script = script_of(par)
         start, size = 0, len(par)
         in_list = _LIST.match(par) is not None
 
@@ -322,7 +323,10 @@ class Splitter:
 
     def _ends(self, par: str, start: int, at: int, word: str, rest, glued: bool, script: str, code: str | None) -> bool:
         """Whether the single period at ``at`` ends a sentence that ``word`` doesn't continue."""
-        m = _LAST.search(par, max(start, at - 40), at)
+        begin = at
+        while begin > start and not par[begin - 1].isspace():
+            begin -= 1
+        m = _LAST.search(par, begin, at)
         if m is None:
             return True
         last = m.group()
