@@ -82,11 +82,12 @@ def differing_rows(obs: DataFrame, scratch: Scratch) -> DataFrame:
 def versions(obs: DataFrame) -> DataFrame:
     """k, attribute, value, from_id, from_at, next_id (0 for the last), next_at (NULL for the last)."""
     scratch = Scratch(obs.sparkSession, "history")
-    rows, _ = scratch.write(differing_rows(obs, scratch).select("k", "attribute", "period", "at", "id", "value"))
     keys = ["attribute", "k"]
-    rows = split.neighbour(rows, keys, ["at", "id"], "value", F.col("period"), "prior", by_count=True)
+    rows, _ = scratch.write(differing_rows(obs, scratch).select("k", "attribute", "period", "at", "id", "value"))
+    rows = split.cut_by_count(rows, keys, "at", F.col("period")).withColumnRenamed("_b", "part").drop("period")
+    rows = split.neighbour(rows, keys, ["at", "id"], "value", F.col("part"), "prior")
     new, _ = scratch.write(rows.where(~F.col("value").eqNullSafe(F.col("prior"))).drop("prior").withColumn("begin", F.struct("at", "id")))
-    done = split.neighbour(new, keys, ["at", "id"], "begin", F.col("period"), "next", after=True, by_count=True)
+    done = split.neighbour(new, keys, ["at", "id"], "begin", F.col("part"), "next", after=True)
     return done.select("k", "attribute", "value", F.col("id").alias("from_id"), F.col("at").alias("from_at"), F.coalesce("next.id", F.lit(0).cast("bigint")).alias("next_id"), F.col("next.at").alias("next_at"))
 
 
