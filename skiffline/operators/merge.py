@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skiffline.operators import split
 
+EXPANDED = 10_000  #: ids of a range expanded together
 
 def last_state(obs: DataFrame, keys: list[str], order: list[str], first: list[str] | None = None) -> DataFrame:
     """One row per key: every column of the last observation, the columns in ``first`` of the first one."""
@@ -34,11 +35,11 @@ def merged_peers(obs: DataFrame, order: list[str]) -> DataFrame:
 
 
 def deleted_at(messages: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """uri and deleted_at of messages with deleting evidence that arrived after they were first seen: the first such."""
+    """uri and deleted_at of messages with deleting evidence of a time at which they were known: of these the first that arrived (by id)."""
     dead = tombstones.where(F.col("evidence").isin("update", "empty")).select(F.col("message_uri").alias("uri"), "at", "id", "observed_at")
     first = messages.groupBy("uri").agg(F.min("seen").alias("seen"))
     rows = dead.join(first, "uri").where(F.col("at") >= F.col("seen"))
-    return rows.groupBy("uri").agg(F.min_by("observed_at", F.struct("at", "id")).alias("deleted_at"))
+    return rows.groupBy("uri").agg(F.min_by("observed_at", "id").alias("deleted_at"))
 
 
 def latest_values(state: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -105,8 +106,12 @@ def uncovered(spans: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
 
 
 def expanded(ranges: DataFrame, key: str, value: str) -> DataFrame:
-    """One row per id of inclusive ranges; an empty range has none."""
-    return ranges.where("lo <= hi").select(key, F.explode(F.sequence("lo", "hi")).alias(value))
+    """One row per id of inclusive ranges; an empty range has none.  Wide ranges are cut first, so no array is longer than a block."""
+    cut = ranges.where("lo <= hi").select(key, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("hi") - F.col("lo")) / EXPANDED / EXPANDED))).alias("far"))
+    cut = cut.select(key, "hi", (F.col("lo") + F.col("far") * EXPANDED * EXPANDED).alias("lo")).where("lo <= hi")
+    near = cut.select(key, "hi", "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.floor((F.col("hi") - F.col("lo")) / EXPANDED), F.lit(EXPANDED - 1)))).alias("near"))
+    near = near.select(key, "hi", (F.col("lo") + F.col("near") * EXPANDED).alias("lo"))
+    return near.select(key, F.explode(F.sequence("lo", F.least(F.col("hi"), F.col("lo") + EXPANDED - 1))).alias(value))
 
 
 def collapsed(captures: DataFrame, keys: list[str], digest: str, at: str, tie: str, ok: Column | None = None) -> DataFrame:

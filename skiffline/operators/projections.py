@@ -28,7 +28,7 @@ def observed_messages(raw: DataFrame) -> DataFrame:
     """Every message object of the raw log with the place it came from: single objects, pages, change batches (new and edited)."""
     base = parsed(raw)
     single = base.where(F.col("tag").isin("message", "messageservice")).select("raw_id", "observed_at", "tier", F.lit(0).alias("pos"), F.from_json("json", MESSAGE).alias("m"))
-    edits = F.transform(F.filter("p.other_updates", lambda u: u["message"].isNotNull()), lambda u: u["message"])
+    edits = F.transform(F.filter("p.other_updates", lambda u: u["message"].isNotNull() & fn.tag_is(u["_"], "updateEditChannelMessage")), lambda u: u["message"])
     listed = F.concat(*[F.coalesce(x, F.array().cast(f"array<{MESSAGE}>")) for x in (F.col("p.messages"), F.col("p.new_messages"), edits)])
     pages = base.where(~F.col("tag").isin("message", "messageservice", "messageempty")).select("raw_id", "observed_at", "tier", F.posexplode(listed).alias("pos", "m"))
     return single.unionByName(pages).where(F.col("m.id").isNotNull() & fn.tag_is(F.col("m._"), "message", "messageservice"))
@@ -154,14 +154,21 @@ TRIPLE = ["subject_uri", "predicate", "object_uri", "observed_at", "source_raw_i
 
 
 def linked_edges(channels: DataFrame) -> DataFrame:
-    return channels.where("coalesce(linked_chat_id, 0) <> 0").select(F.col("uri").alias("subject_uri"), F.lit("linked_group").alias("predicate"), fn.entity_uri("channel", F.col("linked_chat_id")).alias("object_uri"), F.col("observed_at"), F.col("source_raw_id"))
+    evidence = F.to_json(F.struct(F.lit("linked_chat_id").alias("field")))
+    return channels.where("coalesce(linked_chat_id, 0) <> 0").select(F.col("uri").alias("subject_uri"), F.lit("linked_group").alias("predicate"), fn.entity_uri("channel", F.col("linked_chat_id")).alias("object_uri"), F.col("observed_at"), F.col("source_raw_id"), evidence.alias("evidence_json"))
 
 
 def forward_edges(messages: DataFrame) -> DataFrame:
     """Message to the peer it was forwarded from; forwards that give a name only have none."""
     f = F.from_json("fwd_json", "struct<from_id:struct<_:string,user_id:bigint,channel_id:bigint,chat_id:bigint>>")["from_id"]
     rows = messages.withColumn("object_uri", fn.peer_uri(f["_"], f["user_id"], f["channel_id"], f["chat_id"])).where("object_uri is not null")
-    return rows.select(F.col("uri").alias("subject_uri"), F.lit("forwarded_from").alias("predicate"), "object_uri", F.col("first_seen").alias("observed_at"), "source_raw_id")
+    return rows.select(F.col("uri").alias("subject_uri"), F.lit("forwarded_from").alias("predicate"), "object_uri", F.col("first_seen").alias("observed_at"), "source_raw_id", F.concat(F.lit('{"fwd_from": '), F.col("fwd_json"), F.lit("}")).alias("evidence_json"))
+
+
+def with_tier(edges: DataFrame, raw: DataFrame) -> DataFrame:
+    """Edges with the tier in which their source was landed; NULL where that was pruned."""
+    tiers = raw.select(F.col("id").alias("_raw"), "tier")
+    return edges.join(tiers, F.col("source_raw_id") == F.col("_raw"), "left").drop("_raw")
 
 
 def recommended_edges(recommendations: DataFrame) -> DataFrame:
@@ -196,7 +203,8 @@ def invite_edges(invites: DataFrame, previews: DataFrame) -> DataFrame:
     chat = F.col("p.chat")
     known = fn.tag_is(F.col("p._"), "chatinvitealready", "chatinvitepeek") & chat["id"].isNotNull()
     to = F.when(known, F.concat(F.lit("tg:"), peer_class(chat["_"]), F.lit(":"), chat["id"].cast("string"))).otherwise(F.concat(F.lit("tg:invite:"), F.col("hash")))
-    evidence = F.when(~known, F.to_json(F.struct(F.col("p.title").alias("title"), F.col("p.participants_count").alias("participants_count"), F.col("p.photo").isNotNull().alias("has_photo"))))
+    shown = F.struct(F.lit(False).alias("resolved"), F.col("p.title").alias("title"), F.col("p.participants_count").alias("participants_count"), F.col("p.photo").isNotNull().alias("has_photo"))
+    evidence = F.when(known, F.to_json(F.struct(F.lit(True).alias("resolved"), chat["id"].alias("chat_id")))).otherwise(F.to_json(shown, {"ignoreNullFields": "false"}))
     return both.select("subject_uri", F.lit("invited_via").alias("predicate"), to.alias("object_uri"), evidence.alias("evidence_json"))
 
 
@@ -204,4 +212,4 @@ def sponsored_edges(sponsored: DataFrame) -> DataFrame:
     """sponsored: channel_id, json.  Channel to the username or invite of each advertised link that is one."""
     ads = sponsored.select("channel_id", F.explode(F.from_json("json", "struct<messages:array<struct<url:string,title:string,sponsor_info:string>>>")["messages"]).alias("a"))
     where = fn.link_target(F.col("a.url"))
-    return ads.where(where.isNotNull()).select(fn.entity_uri("channel", F.col("channel_id")).alias("subject_uri"), F.lit("mentions").alias("predicate"), F.concat(F.lit("tg:"), where["kind"], F.lit(":"), where["value"]).alias("object_uri"), F.to_json(F.struct("a.url", "a.title", "a.sponsor_info")).alias("evidence_json"))
+    return ads.where(where.isNotNull()).select(fn.entity_uri("channel", F.col("channel_id")).alias("subject_uri"), F.lit("mentions").alias("predicate"), F.concat(F.lit("tg:"), where["kind"], F.lit(":"), where["value"]).alias("object_uri"), F.to_json(F.struct(F.lit("sponsored").alias("source"), "a.url", "a.sponsor_info", "a.title"), {"ignoreNullFields": "false"}).alias("evidence_json"))

@@ -14,9 +14,12 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skiffline.functions.archive import archive_iso, post_id
 
+MAX_PAGES = 50  #: pages of a feed in one run
+
 
 @dataclass(frozen=True)
 class PageMarkup:
@@ -135,6 +138,22 @@ def feed_posts(pages: DataFrame, page_id: Column, page: Column, markup: PageMark
     return parsed.withColumns({"channel_username": ids["username"], "msg_id": ids["msg_id"]})
 
 
+def page_cursors(posts_: DataFrame, feed: str, page_no: str) -> DataFrame:
+    """Each page of a feed with its least and greatest message id, the cursor of the next page, and whether paging goes on.
+
+    It ends at a page without an id and at one whose least id isn't below that of the page before.
+    """
+    pages = posts_.groupBy(feed, page_no).agg(F.min("msg_id").alias("next_before"), F.max("msg_id").alias("newest"), F.count("*").alias("n_posts"))
+    before = F.lag("next_before").over(Window.partitionBy(feed).orderBy(page_no))  # at most MAX_PAGES pages of a feed are fetched in a run
+    goes_on = F.col("next_before").isNotNull() & (before.isNull() | (F.col("next_before") < before)) & (F.col(page_no) < MAX_PAGES)
+    return pages.withColumn("goes_on", goes_on)
+
+
+def high_water_marks(pages: DataFrame, feed: str) -> DataFrame:
+    """The newest message id seen of each feed."""
+    return pages.groupBy(feed).agg(F.max("newest").alias("newest_seen"))
+
+
 def capture_texts(pages: DataFrame, page_id: Column, page: Column, class_name: str) -> DataFrame:
     """id and text of captures that hold one post each."""
 

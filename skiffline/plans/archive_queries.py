@@ -41,7 +41,7 @@ listed as (select raw_id, observed_at, tier, 0 as pos, cast(j as json) as m from
   union all select raw_id, observed_at, tier, pos - 1, ms[pos] as m from (
     select raw_id, observed_at, tier, ms, unnest(range(1, len(ms) + 1)) as pos from (
       select raw_id, observed_at, tier, list_concat(coalesce(cast(json_extract(j, '$.messages') as json[]), []), coalesce(cast(json_extract(j, '$.new_messages') as json[]), []),
-        list_transform(list_filter(coalesce(cast(json_extract(j, '$.other_updates') as json[]), []), lambda u: json_type(u, '$.message') = 'OBJECT'), lambda u: json_extract(u, '$.message'))) as ms
+        list_transform(list_filter(coalesce(cast(json_extract(j, '$.other_updates') as json[]), []), lambda u: json_type(u, '$.message') = 'OBJECT' and lower(json_extract_string(u, '$._')) = 'updateeditchannelmessage'), lambda u: json_extract(u, '$.message'))) as ms
       from opened where tag not in ('message', 'messageservice', 'messageempty')))),
 observed as (select * from listed where json_extract(m, '$.id') is not null and json_type(m, '$.id') <> 'NULL' and lower(json_extract_string(m, '$._')) in ('message', 'messageservice'))
 """
@@ -235,7 +235,7 @@ def merged_peers(spark, sf_dir):
 
 
 @query(f"""with f as (select uri, min({instant_sql("first_seen")}) as seen from messages group by 1)
-select t.message_uri as uri, arg_min(t.observed_at, ({instant_sql("t.observed_at")}, t.id)) as deleted_at from message_tombstones t join f on f.uri = t.message_uri where t.evidence in ('update', 'empty') and {instant_sql("t.observed_at")} >= f.seen group by 1""")
+select t.message_uri as uri, arg_min(t.observed_at, t.id) as deleted_at from message_tombstones t join f on f.uri = t.message_uri where t.evidence in ('update', 'empty') and {instant_sql("t.observed_at")} >= f.seen group by 1""")
 def deleted_messages(spark, sf_dir):
     """When messages were first known to be deleted."""
     m = messages(spark, sf_dir).select("uri", instant_micros(F.col("first_seen")).alias("seen"))
@@ -499,7 +499,13 @@ def export_edges(spark, sf_dir):
     return rows.groupBy("subject_uri", "object_uri").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""with e as (select seq, uri, text, cast(unnest(range(cast(json_array_length(entities_json) as bigint))) as int) as pos, unnest(cast(entities_json as json[])) as e from messages where entities_json is not null),
+named as (select seq, uri, text, pos, json_extract_string(e, '$._') as entity, lower(json_extract_string(e, '$._')) as t, json_extract_string(e, '$.url') as url, cast(json_extract_string(e, '$.user_id') as bigint) as user_id, cast(json_extract_string(e, '$.offset') as bigint) as a, cast(json_extract_string(e, '$.length') as bigint) as n from e),
+signs as (select seq, pos, a, n, unnest(range(len(cs))) as i, unnest(cs) as c from (select seq, pos, a, n, regexp_extract_all(text, '(?s).') as cs from named where t = 'messageentityurl')),
+placed as (select *, case when unicode(c) > 65535 then 2 else 1 end as w, sum(case when unicode(c) > 65535 then 2 else 1 end) over (partition by seq, pos order by i) as upto from signs),
+cut as (select seq, pos, coalesce(string_agg(c, '' order by i) filter (upto - w >= a and upto <= a + n), '') as url from placed group by 1, 2)
+select x.uri, x.pos, x.entity, case when x.t = 'messageentitytexturl' then x.url when x.t = 'messageentityurl' then c.url end as url, case when x.t in ('messageentitymentionname', 'inputmessageentitymentionname') then x.user_id end as user_id
+from named x left join cut c on c.seq = x.seq and c.pos = x.pos where (x.t = 'messageentitytexturl' and x.url is not null) or x.t = 'messageentityurl' or (x.t in ('messageentitymentionname', 'inputmessageentitymentionname') and x.user_id is not null)""")
 def entity_links(spark, sf_dir):
     """The users and URLs that entities name, bare ones cut from the text by UTF-16 offsets."""
     return projections.entity_links(messages(spark, sf_dir)).select("uri", "pos", "entity", "url", "user_id")
@@ -643,8 +649,8 @@ def change_stream(spark, sf_dir):
     events = feed.change_events(stream.select(F.col("uri").alias("key"), F.col("content_hash").alias("digest"), F.col("seq").alias("order")))
     root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
-    feed.run_once(events, f"{root}/checkpoint", lambda df, n: df.write.mode("append").parquet(out))
-    return spark.read.schema("key string, order bigint, kind string").parquet(out)
+    feed.run_once(events, f"{root}/checkpoint", feed.batch_writer(out))
+    return spark.read.schema("key string, order bigint, kind string").parquet(out).select("key", "order", "kind")
 
 
 def _stream_folder(spark: SparkSession, sf_dir: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,25 @@ def write_json_lines(df: DataFrame, path: str, single_file: bool = False) -> Non
     (out.coalesce(1) if single_file else out).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def export_channel(channels: DataFrame, messages: DataFrame, edges: DataFrame, uri: str, out: str, own_uri: str | None = None) -> None:
+    """One channel as three files of sorted JSON lines: ``channel``, ``messages`` (by id) and ``edges`` (in their order).
+
+    messages: with their revisions nested; ``edges``: with a column ``id`` that gives their order.
+    What the collecting account wrote or is part of is left out.  Fails on a URI of anything but a channel.
+    """
+    if (m := re.fullmatch(r"tg:channel:(-?\d+)", uri)) is None:
+        raise ValueError(f"not a channel: {uri}")
+    number = int(m.group(1))
+    written = messages.where(F.col("channel_id") == number)
+    of = edges.where((F.col("subject_uri") == uri) | F.col("subject_uri").startswith(f"tg:msg:{number}/") | (F.col("object_uri") == uri))
+    if own_uri is not None:
+        written = written.where(~F.col("from_uri").eqNullSafe(F.lit(own_uri)))
+        of = of.where(~F.col("subject_uri").eqNullSafe(F.lit(own_uri)) & ~F.col("object_uri").eqNullSafe(F.lit(own_uri)))
+    write_json_lines(channels.where(F.col("id") == number), f"{out}/channel")
+    write_json_lines(written.orderBy("msg_id"), f"{out}/messages")
+    write_json_lines(of.orderBy("id"), f"{out}/edges")
+
+
 def media_files(spark: SparkSession, path: str) -> DataFrame:
     """Landed media with their content address: sha256, size, and the path they belong under."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -50,18 +50,6 @@ def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int]
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
 
 
-def apply_difference(cursor: int | None, difference: dict) -> tuple[int | None, str, list[dict], list[int]]:
-    """A change batch against a cursor: the new cursor, ``applied``, ``resynced`` or ``empty``, messages and deleted ids.
-
-    A batch that is too long carries nothing to apply, only the cursor to go on from.
-    """
-    kind = difference.get("_", "").lower()
-    if kind.endswith("toolong"):
-        return (difference.get("dialog") or {}).get("pts", cursor), "resynced", [], []
-    messages = list(difference.get("new_messages") or [])
-    deleted: list[int] = []
-    for update in difference.get("other_updates") or []:
-        if update.get("message"):
-            messages.append(update["message"])
-        deleted += update.get("messages") or []
-    return difference.get("pts", cursor), "applied" if messages or deleted else "empty", messages, deleted
+def batch_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """A sink that can be repeated: each batch overwrites its own folder, so a batch that is run again after a failure adds nothing."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skiffline.functions import archive as fn
-from skiffline.operators import merge, operations, projections, search, split, web
+from skiffline.operators import changes, merge, operations, projections, search, split, web
 from skiffline.sources import tables
 from skiffline.streaming import feed
 
@@ -326,11 +326,81 @@ def test_operations(spark):
     assert operations.run_events(spark, out, 5, "t").count() == 3
 
 
-def test_differences():
-    assert feed.apply_difference(3, {"_": "updates.ChannelDifferenceTooLong", "dialog": {"pts": 9}}) == (9, "resynced", [], [])
-    d = {"_": "updates.channelDifference", "pts": 5, "new_messages": [{"id": 1}], "other_updates": [{"message": {"id": 2}}, {"messages": [3, 4]}]}
-    assert feed.apply_difference(3, d) == (5, "applied", [{"id": 1}, {"id": 2}], [3, 4])
-    assert feed.apply_difference(3, {"_": "updates.channelDifferenceEmpty"}) == (3, "empty", [], [])
+def batch(*updates, new=(), **more):
+    import json
+
+    return json.dumps({"_": "updates.channelDifference", "chats": [{"_": "channel", "id": 5}], "pts": 40, "new_messages": list(new), "other_updates": list(updates), **more})
+
+
+def said(number, text):
+    return {"_": "message", "id": number, "message": text, "peer_id": {"channel_id": 5}}
+
+
+def test_change_batches(spark):
+    """Only the tags of an edit and of a deletion change anything; a deletion counts from when the message is known."""
+    kind = "updates.channelDifference"
+    log = raw(
+        spark,
+        (kind, batch({"_": "updateDeleteChannelMessages", "messages": [1, 9]}, new=[said(1, "a"), said(2, "b"), said(3, "c")])),
+        (kind, batch({"_": "updateEditChannelMessage", "message": said(2, "bb")}, {"_": "updatePinnedChannelMessages", "messages": [3]}, {"_": "updateNewThing", "message": said(3, "x")})),
+        (kind, batch({"_": "UpdateDeleteChannelMessages", "messages": [4, 2]}, new=[said(4, "d"), said(2, "bb")])),
+        ("updates.channelDifferenceTooLong", batch(new=[said(7, "lost")], dialog={"pts": 90}) .replace("updates.channelDifference", "updates.channelDifferenceTooLong")),
+        ("message", '{"_":"message","id":1,"message":"again","peer_id":{"channel_id":5}}'),
+        (kind, "{broken"),
+        (kind, None),
+    )
+    changed = changes.changes(log)
+    got = {r.msg_id: (r.text, r.deleted_at is not None, r.n_revisions) for r in changes.collected_messages(changed).collect()}
+    assert got == {1: ("again", True, 2), 2: ("bb", True, 2), 3: ("c", False, 1), 4: ("d", True, 1)}
+    assert sorted(r.message_uri for r in changes.tombstones(changed).collect()) == ["tg:msg:5/1", "tg:msg:5/2", "tg:msg:5/4", "tg:msg:5/9"]
+    batched = changes.batches(log)
+    assert [(r.cursor, r.outcome) for r in batched.orderBy("raw_id").collect()] == [(40, "applied"), (40, "applied"), (40, "applied"), (90, "resynced")]
+    assert tuple(changes.cursors(batched).first()) == (5, 90, "resynced", 4)
+    assert changes.collected_messages(changes.changes(log.limit(0))).count() == 0
+
+
+def test_export_of_a_channel(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    channels = spark.createDataFrame([(5, "tg:channel:5"), (6, "tg:channel:6")], "id bigint, uri string")
+    written = spark.createDataFrame([("tg:msg:5/2", 5, 2, "tg:user:1"), ("tg:msg:5/1", 5, 1, None), ("tg:msg:5/3", 5, 3, "tg:user:9"), ("tg:msg:6/1", 6, 1, None)], "uri string, channel_id bigint, msg_id bigint, from_uri string")
+    revisions = spark.createDataFrame([(2, "tg:msg:5/1", "t2", "h2", "b"), (1, "tg:msg:5/1", "t1", "h1", "a")], "id bigint, message_uri string, observed_at string, content_hash string, text string")
+    edges = spark.createDataFrame([(2, "tg:msg:5/1", "tg:user:7"), (1, "tg:channel:9", "tg:channel:5"), (3, "tg:msg:5/2", "tg:user:9"), (4, "tg:msg:55/1", "tg:user:7")], "id bigint, subject_uri string, object_uri string")
+    out = str(tmp_path / "x")
+    tables.export_channel(channels, merge.nested_revisions(written, revisions), edges, "tg:channel:5", out, "tg:user:9")
+
+    def lines(name):
+        return [json.loads(x) for f in sorted(Path(out, name).glob("part-*")) for x in f.read_text().splitlines()]
+
+    assert [r["uri"] for r in lines("channel")] == ["tg:channel:5"]
+    assert [(r["msg_id"], [v["content_hash"] for v in r["revisions"]]) for r in lines("messages")] == [(1, ["h1", "h2"]), (2, [])]
+    assert [r["id"] for r in lines("edges")] == [1, 2] and list(lines("edges")[0]) == sorted(lines("edges")[0])
+    with pytest.raises(ValueError, match="not a channel"):
+        tables.export_channel(channels, written, edges, "tg:user:5", out)
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    write = feed.batch_writer(str(tmp_path / "out"))
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    write(df, 0)
+    write(df, 0)
+    write(df, 1)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_paging_ends(spark):
+    rows = [("a", 1, 30), ("a", 1, 20), ("a", 2, 19), ("a", 3, 25), ("b", 1, None)]
+    pages = web.page_cursors(spark.createDataFrame(rows, "f string, n int, msg_id bigint"), "f", "n")
+    assert {(r.f, r.n): (r.next_before, r.goes_on) for r in pages.collect()} == {("a", 1): (20, True), ("a", 2): (19, True), ("a", 3): (25, False), ("b", 1): (None, False)}
+    assert {r.f: r.newest_seen for r in web.high_water_marks(pages, "f").collect()} == {"a": 30, "b": None}
+
+
+def test_wide_ranges_are_expanded_in_parts(spark):
+    df = spark.createDataFrame([(1, 5, 30_004), (2, 7, 7), (3, 9, 8)], "k int, lo bigint, hi bigint")
+    got = merge.expanded(df, "k", "v")
+    assert got.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("k").collect() == [(1, 30_000, 5, 30_004), (2, 1, 7, 7)]
+    assert got.distinct().count() == 30_001
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -340,7 +410,7 @@ def test_stream_resumes(spark, tmp_path):
     def land(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = feed.landed(spark, source, spark.createDataFrame([], schema).schema)
-        feed.run_once(feed.change_events(stream), check, lambda df, n: df.write.mode("append").parquet(out))
+        feed.run_once(feed.change_events(stream), check, feed.batch_writer(out))
 
     land([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)])
     land([("a", "y", 4), ("a", "x", 5), ("c", "z", 6)])

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from skiffline.plans import archive_queries, core_queries
+from skiffline.plans import archive_queries, collected_queries, core_queries
 
 SF = "/root/testdata/sf0.001"
-WITH_SQL = [*core_queries.SQL, *archive_queries.SQL]
+WITH_SQL = [*core_queries.SQL, *archive_queries.SQL, *collected_queries.SQL]
 
 
 @pytest.fixture(scope="module")
@@ -44,5 +44,5 @@ def test_sql_belongs_to_queries():
 
 
 def test_queries_without_sql_run(spark):
-    for name in ("p2_descendants", "p2_paths", "entity_links"):
+    for name in ("p2_descendants", "p2_paths"):
         assert entry.queries()[name](spark, SF).count() > 0
