@@ -2,7 +2,9 @@
 
 A sparse multinomial logistic regression on TF-IDF character n-grams (hashed), fitted
 with follow-the-regularised-leader and an elastic net, then calibrated by one
-temperature on held-out sentences.  It is fitted at run time on a bounded sample of the
+temperature on held-out sentences and their delivered labels, whose share of wrong ones is
+estimated with it.  A sentence's vector has the length of one whose term frequencies are
+square roots, so that repeats within it count for less.  It is fitted at run time on a bounded sample of the
 delivered labels (``SAMPLE_ROWS``), which are partly wrong: after the first pass a
 sentence whose label the model firmly contradicts is relabelled, and the fit repeated.
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skiffline.llm.textvec import Grams, grams, summed
+from skiffline.llm.textvec import Grams, fast_sums, grams, summed, with_nothing
 
 LANGUAGES = ["ar", "de", "en", "es", "fr", "hi", "id", "it", "ja", "nl", "pl", "pt", "ru", "th", "tr", "uk", "zh"]
 # The other ISO 639 codes of these languages.
@@ -35,6 +37,7 @@ CODES = {
 ORDERS = (2, 3, 4)
 BITS = 16
 SAMPLE_ROWS = 20_000  #: labelled rows the classifier is fitted on, at most about this many
+SCALE = 10.0  #: what a sentence's vector of unit length is multiplied by
 RARE = 6  #: n-grams of fewer sentences are left out
 SWITCH = 2.5  #: nats that a change of language between sentences costs
 
@@ -74,7 +77,7 @@ def sentences_of(text: str) -> list[str]:
             continue
         held = f"{held} {piece}" if held else piece
         words = _WORD.findall(held)
-        dense = len(_DENSE.findall(held))
+        dense = 0 if held.isascii() else len(_DENSE.findall(held))
         letters = sum(map(len, words))
         marked = _MARK.search(held) is not None
         if (dense >= 5 and (marked or _THAI.search(held))) or (dense < 5 and (marked and len(words) >= 3 and letters >= 8 or len(words) >= 5 and letters >= 18)):
@@ -102,18 +105,24 @@ def script_languages(piece: str) -> list[str] | None:
 
 @dataclass
 class Model:
-    """``table``: weights times idf per bucket and language; ``idf2``: squared idf per bucket."""
+    """``table``: per bucket the weights times idf of each language and, last, the squared idf; a row of zeros beyond the buckets."""
 
     table: np.ndarray
-    idf2: np.ndarray
     temperature: float
+    noise: float = 0.0  #: the share of delivered labels that are wrong, as estimated with the temperature
 
     def log_probabilities(self, pieces: list[str]) -> np.ndarray:
-        score = logits(self.table, self.idf2, grams(pieces, ORDERS, BITS)) / self.temperature
-        for i, piece in enumerate(pieces):
-            if not piece.isascii() and (open_to := script_languages(piece)):
-                score[i, _CLOSED[tuple(open_to)]] -= 50
-        return log_softmax(score)
+        sums, _ = fast_sums(self.table, pieces, ORDERS, BITS)
+        score = sums[:, :-1] / (np.sqrt(sums[:, -1:]) + 1e-6) * (SCALE / self.temperature)
+        return log_softmax(masked(score, pieces))
+
+
+def masked(score: np.ndarray, pieces: list[str]) -> np.ndarray:
+    """Scores with the languages ruled out that a sentence's script isn't used for."""
+    for i, piece in enumerate(pieces):
+        if not piece.isascii() and (open_to := script_languages(piece)):
+            score[i, _CLOSED[tuple(open_to)]] -= 50
+    return score
 
 
 _CLOSED = {tuple(ls): np.array([i for i, x in enumerate(LANGUAGES) if x not in ls]) for _, ls in _SCRIPTS}
@@ -126,7 +135,7 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 
 def logits(table: np.ndarray, idf2: np.ndarray, g: Grams) -> np.ndarray:
     norm = np.sqrt(summed(idf2[:, None], g)) + 1e-6
-    return summed(table, g) / norm * 10
+    return summed(table, g) / norm * SCALE
 
 
 def ftrl(g: Grams, y: np.ndarray, idf: np.ndarray, k: int, epochs: int = 3, batch: int = 128, alpha: float = 0.02, beta: float = 0.02, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> np.ndarray:
@@ -145,7 +154,7 @@ def ftrl(g: Grams, y: np.ndarray, idf: np.ndarray, k: int, epochs: int = 3, batc
             ln = lengths[rows]
             local = np.repeat(np.cumsum(ln) - ln, ln)
             ids = g.ids[np.arange(ln.sum()) - local + np.repeat(bounds[rows], ln)]
-            val = idf[ids] / np.repeat(norm[rows], ln) * 10
+            val = idf[ids] / np.repeat(norm[rows], ln) * SCALE
             starts = np.cumsum(ln) - ln
             score = np.add.reduceat(w[ids] * val[:, None], starts, axis=0)
             p = np.exp(log_softmax(score))
@@ -165,11 +174,29 @@ def ftrl(g: Grams, y: np.ndarray, idf: np.ndarray, k: int, epochs: int = 3, batc
     return w
 
 
+def calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Temperature and share of wrong labels under which delivered labels of held-out sentences are likeliest.
+
+    A wrong label is any of the languages alike; without that share the wrong ones would be
+    taken for doubt and every confidence come out too low.
+    """
+    best = (np.inf, 1.0, 0.0)
+    mine = np.arange(len(y))
+    for t in np.geomspace(0.2, 5, 25):
+        p = np.exp(log_softmax(score / t))[mine, y]
+        for noise in np.linspace(0, 0.3, 31):
+            loss = -np.log(np.maximum((1 - noise) * p + noise / score.shape[1], 1e-12)).mean()
+            if loss < best[0]:
+                best = (loss, float(t), float(noise))
+    return best[1], best[2]
+
+
 def fit(pieces: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Fits on sentences with partly wrong labels; one in eight is held out for the temperature."""
+    """Fits on sentences with partly wrong labels; one in eight is held out, from relabelling and frequencies too, for the temperature."""
     k, labels = len(LANGUAGES), list(labels)
     if not pieces:
-        return Model(np.zeros((1 << BITS, k), np.float32), np.ones(1 << BITS, np.float32), 1.0)
+        return Model(with_nothing(np.concatenate([np.zeros((1 << BITS, k), np.float32), np.ones((1 << BITS, 1), np.float32)], axis=1)), 1.0)
+    delivered = np.array([LANGUAGES.index(x) for x in labels])
     for i, piece in enumerate(pieces):
         open_to = script_languages(piece)
         if open_to and labels[i] not in open_to:
@@ -177,11 +204,6 @@ def fit(pieces: list[str], labels: list[str], seed: int = 7) -> Model:
     y = np.array([LANGUAGES.index(x) for x in labels])
     g = grams(pieces, ORDERS, BITS)
     bounds = np.append(g.starts, len(g.ids))
-    owner = np.repeat(np.arange(len(pieces)), np.diff(bounds))
-    seen = np.unique(owner * (1 << BITS) + g.ids) & ((1 << BITS) - 1)
-    df = np.bincount(seen, minlength=1 << BITS)
-    # What few sentences hold (names, mostly) says nothing of a language and would only learn wrong labels by heart.
-    idf = np.where(df >= min(RARE, 1 + len(pieces) // 200), np.log((1 + len(pieces)) / (1 + df)), 0).astype(np.float32)
     held = np.random.default_rng(seed).random(len(pieces)) < 0.125
     held &= len(pieces) >= 64
     train = np.flatnonzero(~held)
@@ -192,24 +214,27 @@ def fit(pieces: list[str], labels: list[str], seed: int = 7) -> Model:
         return Grams(g.ids[np.arange(ln.sum()) - np.repeat(starts, ln) + np.repeat(bounds[rows], ln)], starts)
 
     inner = subset(train)
-    w = ftrl(inner, y[train], idf, k, epochs=1, l1=1e-3, l2=0.1)
-    closed = [(i, _CLOSED[tuple(x)]) for i, piece in enumerate(pieces) if (x := script_languages(piece))]
+    owner = np.repeat(np.arange(len(train)), np.diff(np.append(inner.starts, len(inner.ids))))
+    seen = np.unique(owner * (1 << BITS) + inner.ids) & ((1 << BITS) - 1)
+    df = np.bincount(seen, minlength=1 << BITS)
+    # What few sentences hold (names, mostly) says nothing of a language and would only learn wrong labels by heart.
+    idf = np.where(df >= min(RARE, 1 + len(train) // 200), np.log((1 + len(train)) / (1 + df)), 0).astype(np.float32)
+    y = y[train]
+    w = ftrl(inner, y, idf, k, epochs=1, l1=1e-3, l2=0.1)
+    closed = [(i, _CLOSED[tuple(x)]) for i, n in enumerate(train) if (x := script_languages(pieces[n]))]
     for sure, epochs in ((0.8, 1), (0.7, 1), (0.6, 3)):  # wrong labels: what the model contradicts takes its label
-        p = np.exp(log_softmax(logits(w * idf[:, None], idf**2, g)))
+        p = np.exp(log_softmax(logits(w * idf[:, None], idf**2, inner)))
         for i, others in closed:
             p[i, others] = 0
         best = p.argmax(axis=1)
         y = np.where((p.max(axis=1) > sure) & (p[np.arange(len(y)), y] < 0.2), best, y)
-        w = ftrl(inner, y[train], idf, k, epochs=epochs)
+        w = ftrl(inner, y, idf, k, epochs=epochs)
     table = (w * idf[:, None]).astype(np.float32)
-    temperature = 1.0
+    temperature, noise = 1.0, 0.0
     if held.any():
         rows = np.flatnonzero(held)
-        raw = logits(table, idf**2, subset(rows))
-        grid = np.geomspace(0.2, 5, 33)
-        loss = [-log_softmax(raw / t)[np.arange(len(rows)), y[rows]].mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-    return Model(table, (idf**2).astype(np.float32), temperature)
+        temperature, noise = calibrated(masked(logits(table, idf**2, subset(rows)), [pieces[i] for i in rows]), delivered[rows])
+    return Model(with_nothing(np.concatenate([table, (idf**2).astype(np.float32)[:, None]], axis=1)), temperature, noise)
 
 
 def sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
@@ -264,7 +289,8 @@ def _tag(model):
                 pieces += own
                 counts.append(len(own))
             out = [[] for _ in _ARROW]
-            lp = m.log_probabilities(pieces) if pieces else None
+            once = {s: i for i, s in enumerate(dict.fromkeys(pieces))}
+            lp = m.log_probabilities(list(once))[[once[s] for s in pieces]] if pieces else None
             best = lp.argmax(axis=1) if pieces else None
             at = 0
             for item, i, label, n in zip(items, ids, labels, counts):

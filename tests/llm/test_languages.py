@@ -50,6 +50,27 @@ def test_weights_are_sparse_and_confidence_calibrated(model):
     assert 0.1 < model.temperature < 6
 
 
+def test_calibration_sees_through_wrong_labels():
+    """Scores three times too sure, a tenth of the labels wrong: both are found."""
+    rng = np.random.default_rng(2)
+    true = rng.normal(size=(6000, 17)) * 2
+    y = np.array([rng.choice(17, p=p) for p in np.exp(langid.log_softmax(true))])
+    wrong = rng.random(len(y)) < 0.1
+    y[wrong] = rng.integers(0, 17, wrong.sum())
+    temperature, noise = langid.calibrated(true * 3, y)
+    assert 2.5 < temperature < 3.6 and 0.05 < noise < 0.15
+
+
+def test_confidence_is_the_share_of_right_answers(model):
+    """On made texts in a language that is known: among parts of a confidence, about that share is right."""
+    words = {"en": "the night bot pinned a table near our harbour".split(), "nl": "de nachtrobot plaatste een kaart bij onze haven".split(), "de": "der nachtbot fand eine karte bei unserem hafen".split()}
+    rng = random.Random(3)
+    made = [(lang, " ".join(rng.choices(words[lang], k=5) + rng.choices(words["de"], k=2))) for lang in words for _ in range(300)]
+    p = np.exp(model.log_probabilities([t for _, t in made]))
+    right = np.array([langid.LANGUAGES[i] == lang for i, (lang, _) in zip(p.argmax(axis=1), made)])
+    assert abs(p.max(axis=1).mean() - right.mean()) < 0.15
+
+
 def test_parts_and_cases(spark, model):
     mixed = "The night bot pinned the tide table near Tarnhaven.\nDer Nachtbot löschte drei alte Fotos bei Veskholm."
     rows = [("m", 1, "en", mixed), ("m", 2, "eng", "The archive copied a second poll after midnight."), ("m", 3, None, "Наш канал закрепил список участников перед бурей."), ("m", 4, "en", None), ("m", 5, None, "#tag"), ("m", 5, "de", "The archive copied a second poll after midnight.")]
