@@ -34,11 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skiffline.operators import split
 from skiffline.session import Scratch
 
-SPREAD = 64  #: blocks that the children of one parent are split into for prefix sums
-
-
 def nodes_of(rows: DataFrame, tree: Column, node: Column, parent: Column) -> DataFrame:
     """One row per node: t, v, p."""
     slim = rows.select(tree.cast("bigint").alias("t"), node.cast("bigint").alias("v"), parent.cast("bigint").alias("p"))
@@ -161,14 +159,13 @@ def _weighted(scratch: Scratch, links: DataFrame) -> DataFrame:
     return state
 
 
-def split_prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, spread: int = SPREAD) -> DataFrame:
-    """Exclusive running sum of ``value`` inside each key, hot keys split.
+def split_prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, block: Column) -> DataFrame:
+    """Exclusive running sum of ``value`` in the order of each key, hot keys split.
 
-    The rows of a key are put in order by (block, order), a block being a hash of
-    the order columns: each window holds one block of a key, block totals are summed
-    in a second window of at most ``spread`` rows.
+    ``block`` must rise with the order: each window holds one block of a key, block totals
+    are summed in a second window with one row a block.
     """
-    blocked = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+    blocked = df.withColumn("_b", block)
     totals = blocked.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_b").alias("_kb"), "_start")
@@ -183,13 +180,13 @@ def preorder(tree: DataFrame) -> DataFrame:
 
     Descendants of a node are the rows of the same t and root with pos in
     (pos, pos + size - 1].  Light siblings come after the heavy child's subtree in
-    any fixed order; their offsets are split prefix sums.
+    the order of their ids; their offsets are prefix sums split by ranges of ids.
     """
     scratch = Scratch(tree.sparkSession, "preorder")
     rows, _ = scratch.write(tree.where("size > 0"))
     light = rows.where("offset = 0 and chain_parent is not null").select("t", "v", "p", "size", "root")
     heavy = rows.where("offset > 0").select(F.col("t").alias("y_t"), F.col("p").alias("y_p"), F.col("size").alias("heavy_size"))
-    shifted = split_prefix_sum(light, ["t", "p"], ["v"], "size", "before")
+    shifted = split_prefix_sum(light, ["t", "p"], ["v"], "size", "before", split.id_block(F.col("v")))
     shifted = shifted.join(heavy, (F.col("t") == F.col("y_t")) & (F.col("p") == F.col("y_p")), "left")
     step = F.lit(1) + F.coalesce("heavy_size", F.lit(0)) + F.col("before")
     # A head's position is its chain parent's position plus the step; the parent's is its own head's plus its offset.
@@ -216,9 +213,9 @@ def segments(tree: DataFrame, levels: int = 64) -> DataFrame:
         parts.append(part.drop("up"))
         todo = part.where("up is not null")
         if todo.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, parts)
         part = todo.select("t", "v", F.col("up").alias("ask"), (F.col("from_depth") - 1).alias("d")).join(at, (F.col("t") == F.col("k_t")) & (F.col("ask") == F.col("k_v")), "left").select("t", "v", F.coalesce("n_chain", "ask").alias("chain"), F.coalesce("n_from", F.lit(0)).cast("bigint").alias("from_depth"), F.col("d").alias("to_depth"), F.col("n_up").alias("up"))
-    return reduce(DataFrame.unionByName, parts)
+    raise RuntimeError(f"a path of more than {levels} chains")
 
 
 def descendants(ordered: DataFrame, t: int, v: int) -> DataFrame:

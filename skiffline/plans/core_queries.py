@@ -135,6 +135,17 @@ walk as (
   select m.c, m.v, m.p, m.v as root, cast(0 as bigint) as depth from m left join m u on u.c = m.c and u.v = m.p where u.v is null
   union all select m.c, m.v, m.p, walk.root, walk.depth + 1 from m join walk on m.c = walk.c and m.p = walk.v)
 """
+_PREORDER = (
+    _TREE
+    + """, up as (select w.c, w.v, w.p as a from walk w where w.depth > 0 union all select up.c, up.v, w.p from up join walk w on w.c = up.c and w.v = up.a where w.depth > 0),
+below as (select c, a, count(*) as n from up group by 1, 2),
+sized as (select w.c, w.v, case when w.depth > 0 then w.p end as p, 1 + coalesce(b.n, 0) as size from walk w left join below b on b.c = w.c and b.a = w.v),
+ranked as (select *, row_number() over (partition by c, p order by size desc, v) as rn from sized where p is not null),
+light as (select *, case when rn > 1 then coalesce(sum(case when rn > 1 then size end) over (partition by c, p order by v rows between unbounded preceding and 1 preceding), 0) end as earlier, max(case when rn = 1 then size end) over (partition by c, p) as heavy from ranked),
+placed as (select c, v, cast(0 as hugeint) as pos, v as chain from sized where p is null
+  union all select l.c, l.v, o.pos + 1 + case when l.rn = 1 then 0 else l.heavy + l.earlier end, case when l.rn = 1 then o.chain else l.v end from placed o join light l on l.c = o.c and l.p = o.v)
+"""
+)
 _VERSIONS = f"""with long as ({" union all ".join(f"select channel_id, '{a}' as attribute, id, {instant_sql('observed_at')} as at_us, cast({a} as varchar) as value from channel_snapshots where {a} is not null" for a in ATTRIBUTES)}),
 marked as (select *, lag(value) over (partition by channel_id, attribute order by at_us, id) as prior from long),
 kept as (select * from marked where prior is null or prior <> value)
@@ -155,6 +166,10 @@ select table_name, column_name, count(*) as n_values from vals where t not in ('
     + """, up as (select w.c, w.v, w.p as a from walk w where w.depth > 0 union all select up.c, up.v, w.p from up join walk w on w.c = up.c and w.v = up.a where w.depth > 0),
 below as (select c, a, count(*) as n from up group by 1, 2)
 select w.c as channel_id, w.v as msg_id, coalesce(b.n, 0) as n_descendants from walk w left join below b on b.c = w.c and b.a = w.v where w.depth > 0""",
+    "p2_descendants": _PREORDER + "select w.c as channel_id, w.v as msg_id, w.root as root_msg_id, cast(o.pos as bigint) as pos, cast(s.size - 1 as bigint) as n_descendants from walk w join sized s on s.c = w.c and s.v = w.v join placed o on o.c = w.c and o.v = w.v",
+    "p2_paths": _PREORDER
+    + """, above as (select c, v, v as a from walk union all select above.c, above.v, w.p from above join walk w on w.c = above.c and w.v = above.a where w.depth > 0)
+select above.c as channel_id, above.v as msg_id, o.chain as chain_msg_id, min(w.depth) as from_depth, max(w.depth) as to_depth from above join placed o on o.c = above.c and o.v = above.a join walk w on w.c = above.c and w.v = above.a group by 1, 2, 3""",
     "p5_found": f"""with changes as (
   select channel_id, msg_id, {instant_sql("coalesce(edit_date, date)")} as at_us, 0 as op, {instant_sql("last_seen")} as ls, seq, content_hash from messages
   union all select {_URI}, {instant_sql("observed_at")}, 1, 0, 0, null from message_tombstones where evidence in ('update', 'empty')),

@@ -41,8 +41,3 @@ def test_entry_has_rows(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_queries_without_sql_run(spark):
-    for name in ("p2_descendants", "p2_paths"):
-        assert entry.queries()[name](spark, SF).count() > 0
