@@ -46,7 +46,7 @@ def _some(x: Column) -> Column:
 def message_rows(observed: DataFrame) -> DataFrame:
     """Message objects as rows.  Media, forward and action only if they hold something; entities also if they are empty."""
     m = F.col("m")
-    return observed.select(
+    rows = observed.select(
         fn.entity_uri("msg", m["peer_id"]["channel_id"], m["id"]).alias("uri"),
         m["peer_id"]["channel_id"].alias("channel_id"),
         m["id"].alias("msg_id"),
@@ -62,12 +62,16 @@ def message_rows(observed: DataFrame) -> DataFrame:
         m["reply_to"]["reply_to_msg_id"].alias("reply_to_msg_id"),
         m["reply_to"]["reply_to_top_id"].alias("reply_to_top_id"),
         m["grouped_id"].alias("grouped_id"),
+        m["via_bot_id"].alias("via_bot_id"),
         fn.tag_is(m["_"], "messageservice").cast("int").alias("is_service"),
         _some(m["action"]).alias("action_json"),
         F.col("raw_id").alias("source_raw_id"),
         "pos",
         "observed_at",
     )
+    held = ["entities_json", "media_json", "fwd_json", "action_json"]
+    rows = rows.withColumns({c: fn.canonical_json(c) for c in held})
+    return rows.withColumn("content_hash", fn.content_hash(F.col("text"), F.col("media_json")))
 
 
 def metric_rows(observed: DataFrame) -> DataFrame:
@@ -89,11 +93,15 @@ def peer_class(tag: Column) -> Column:
     return F.when(t.startswith("user"), "user").when(t.startswith("channel"), "channel").when(t.startswith("chat"), "chat")
 
 
-def peer_rows(raw: DataFrame) -> DataFrame:
-    """The chats and users of every payload as peer rows."""
+def peer_rows(raw: DataFrame, strict: bool = False) -> DataFrame:
+    """The chats and users of every payload as peer rows; objects of another kind are left out, or fail the job if ``strict``."""
     both = F.concat(*[F.coalesce(F.col(c), F.array().cast(f"array<{PEER}>")) for c in ("p.chats", "p.users")])
-    rows = parsed(raw).select("raw_id", "observed_at", F.posexplode(both).alias("pos", "o")).where(F.col("o.id").isNotNull())
+    texts = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("t.chats", "t.users")])
+    rows = parsed(raw).withColumn("t", F.from_json("json", "struct<chats:array<string>,users:array<string>>"))
+    rows = rows.select("raw_id", "observed_at", F.posexplode(F.arrays_zip(both.alias("o"), texts.alias("t"))).alias("pos", "z")).select("raw_id", "observed_at", "pos", "z.*").where(F.col("o.id").isNotNull())
     o, kind = F.col("o"), peer_class(F.col("o._"))
+    if strict:  # an object that is no peer fails the job
+        kind = F.coalesce(kind, F.raise_error(F.concat(F.lit("no peer: "), F.coalesce(o["_"], F.lit("NULL")))).cast("string"))
     return rows.where(kind.isNotNull()).select(
         F.concat(F.lit("tg:"), kind, F.lit(":"), o["id"].cast("string")).alias("uri"),
         kind.alias("kind"),
@@ -104,6 +112,7 @@ def peer_rows(raw: DataFrame) -> DataFrame:
         o["first_name"].alias("first_name"),
         o["last_name"].alias("last_name"),
         o["title"].alias("title"),
+        flags_json(PEER_FLAGS, F.col("t")).alias("flags_json"),
         "raw_id",
         "pos",
         "observed_at",
@@ -112,7 +121,8 @@ def peer_rows(raw: DataFrame) -> DataFrame:
 
 def channel_rows(raw: DataFrame) -> DataFrame:
     """Full channel objects as rows: kind by its flags, a linked id of 0 as none, the hash of what it says about itself."""
-    rows = parsed(raw).where(F.col("p.full_chat.id").isNotNull())
+    rows = parsed(raw).where(F.col("p.full_chat.id").isNotNull()).withColumn("t", F.from_json("json", "struct<chats:array<string>,full_chat:string>"))
+    own_text = F.get(F.filter("t.chats", lambda c: F.get_json_object(c, "$.id") == F.col("p.full_chat.id").cast("string")), 0)
     full = F.col("p.full_chat")
     own = F.get(F.filter("p.chats", lambda c: c["id"] == full["id"]), 0)
     kind = F.when(own["broadcast"], "broadcast").when(own["gigagroup"], "gigagroup").when(own["megagroup"] & own["forum"], "forum").when(own["megagroup"], "megagroup")
@@ -128,6 +138,9 @@ def channel_rows(raw: DataFrame) -> DataFrame:
         full["online_count"].alias("online_count"),
         F.when(F.length(full["about"]) > 0, F.sha2(full["about"], 256)).alias("about_hash"),
         full["pts"].alias("pts"),
+        flags_json(CHANNEL_FLAGS, own_text, F.col("t.full_chat")).alias("flags_json"),
+        _some(F.get_json_object(own_text, "$.restriction_reason")).alias("restriction_json"),
+        F.lit(None).cast("string").alias("created_at"),
         "raw_id",
         "observed_at",
         "tier",
@@ -150,6 +163,24 @@ def media_rows(messages: DataFrame) -> DataFrame:
     return rows.select("uri", "channel_id", "msg_id", "seq", kind.alias("kind"), F.coalesce(photo, document).alias("content_id"), mime.alias("mime_type"), F.when(kind == "document", name).alias("file_name"), fn.file_suffix(kind, name, mime).alias("suffix"))
 
 
+# The flags kept of peers and of channels.
+PEER_FLAGS = ["bot", "broadcast", "deleted", "fake", "forum", "gigagroup", "megagroup", "premium", "restricted", "scam", "verified"]
+CHANNEL_FLAGS = ["can_view_participants", "fake", "has_geo", "has_link", "participants_hidden", "restricted", "scam", "signatures", "slowmode_enabled", "verified"]
+
+
+def flags_json(flags: list[str], *objects: Column) -> Column:
+    """The members named of the first object that has each, as JSON with sorted names; NULL if there is none."""
+    keys = [F.coalesce(F.json_object_keys(o), F.array().cast("array<string>")) for o in objects]
+    parts = []
+    for name in sorted(flags):
+        value = F.lit(None).cast("string")
+        for has, o in reversed(list(zip(keys, objects))):
+            value = F.when(F.array_contains(has, name), F.coalesce(F.get_json_object(o, f"$.{name}"), F.lit("null"))).otherwise(value)
+        parts.append(F.concat(F.lit(f'"{name}": '), value))
+    inside = F.concat_ws(", ", *parts)
+    return F.when(F.length(inside) > 0, F.concat(F.lit("{"), inside, F.lit("}")))
+
+
 TRIPLE = ["subject_uri", "predicate", "object_uri", "observed_at", "source_raw_id"]
 
 

@@ -49,6 +49,12 @@ _CHANNEL = "cast(json_extract_string(m, '$.peer_id.channel_id') as bigint)"
 _MSG = "cast(json_extract_string(m, '$.id') as bigint)"
 
 
+def _flags(names: list[str], *objects: str) -> str:
+    """The members named of the first JSON object that has each, as JSON text."""
+    has = " || ".join(f"""case {" ".join(f"when json_exists({o}, '$.{n}') then ', \"{n}\": ' || cast(json_extract({o}, '$.{n}') as varchar)" for o in objects)} else '' end""" for n in sorted(names))
+    return f"nullif('{{' || substr({has}, 3) || '}}', '{{}}')"
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_records")
 
@@ -110,11 +116,12 @@ def difference_since(spark, sf_dir):
 case when regexp_matches(json_extract_string(m, '$.date'), '^[0-9]{{1,12}}$') then strftime(make_timestamp(cast(json_extract_string(m, '$.date') as bigint) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') else json_extract_string(m, '$.date') end as date,
 json_extract_string(m, '$.media._') as media_kind, cast(json_extract_string(m, '$.reply_to.reply_to_msg_id') as bigint) as reply_to_msg_id,
 case when lower(json_extract_string(m, '$.from_id._')) = 'peeruser' then 'tg:user:' || json_extract_string(m, '$.from_id.user_id') when lower(json_extract_string(m, '$.from_id._')) = 'peerchannel' then 'tg:channel:' || json_extract_string(m, '$.from_id.channel_id') end as from_uri,
-cast(lower(json_extract_string(m, '$._')) = 'messageservice' as int) as is_service from observed"""
+cast(lower(json_extract_string(m, '$._')) = 'messageservice' as int) as is_service, json_extract_string(m, '$.post_author') as post_author, cast(json_extract_string(m, '$.grouped_id') as bigint) as grouped_id, cast(json_extract_string(m, '$.via_bot_id') as bigint) as via_bot_id,
+cast(json_extract_string(m, '$.reply_to.reply_to_top_id') as bigint) as reply_to_top_id from observed"""
 )
 def message_projection(spark, sf_dir):
     """Message objects of the raw log as rows."""
-    return projections.message_rows(observed(spark, sf_dir)).select("source_raw_id", "pos", "channel_id", "msg_id", "text", "date", "media_kind", "reply_to_msg_id", "from_uri", "is_service")
+    return projections.message_rows(observed(spark, sf_dir)).select("source_raw_id", "pos", "channel_id", "msg_id", "text", "date", "media_kind", "reply_to_msg_id", "from_uri", "is_service", "post_author", "grouped_id", "via_bot_id", "reply_to_top_id")
 
 
 @query("select seq, sha256(text || chr(0) || coalesce(media_json, '')) as computed, sha256(text || chr(0) || coalesce(media_json, '')) = content_hash as same from messages")
@@ -124,16 +131,24 @@ def content_hash(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", h.alias("computed"), (h == F.col("content_hash")).alias("same"))
 
 
+@query("select distinct source_raw_id, uri, content_hash from messages where source_raw_id is not null")
+def projected_hashes(spark, sf_dir):
+    """Delivered hashes (of text and canonical media) that come out of the raw record they name."""
+    found = projections.message_rows(observed(spark, sf_dir)).select("source_raw_id", "uri", "content_hash").distinct()
+    return messages(spark, sf_dir).where("source_raw_id is not null").select("source_raw_id", "uri", "content_hash").distinct().join(found, ["source_raw_id", "uri", "content_hash"], "left_semi")
+
+
 @query(
     f"""with {_OPEN}, f as (select raw_id, j, json_extract(j, '$.full_chat') as c, list_filter(coalesce(cast(json_extract(j, '$.chats') as json[]), []), lambda x: json_extract_string(x, '$.id') = json_extract_string(j, '$.full_chat.id'))[1] as own from opened where json_extract_string(j, '$.full_chat.id') is not null)
 select raw_id, cast(json_extract_string(c, '$.id') as bigint) as id, json_extract_string(own, '$.title') as title, json_extract_string(c, '$.about') as about,
 case when json_extract_string(own, '$.broadcast') = 'true' then 'broadcast' when json_extract_string(own, '$.gigagroup') = 'true' then 'gigagroup' when json_extract_string(own, '$.megagroup') = 'true' and json_extract_string(own, '$.forum') = 'true' then 'forum' when json_extract_string(own, '$.megagroup') = 'true' then 'megagroup' end as kind,
 nullif(cast(json_extract_string(c, '$.linked_chat_id') as bigint), 0) as linked_chat_id, cast(json_extract_string(c, '$.participants_count') as bigint) as participants_count,
-case when length(json_extract_string(c, '$.about')) > 0 then sha256(json_extract_string(c, '$.about')) end as about_hash from f"""
+case when length(json_extract_string(c, '$.about')) > 0 then sha256(json_extract_string(c, '$.about')) end as about_hash, cast(json_extract_string(c, '$.online_count') as bigint) as online_count, {_flags(projections.CHANNEL_FLAGS, "own", "c")} as flags_json,
+case when json_array_length(own, '$.restriction_reason') > 0 then cast(json_extract(own, '$.restriction_reason') as varchar) end as restriction_json from f"""
 )
 def channel_projection(spark, sf_dir):
     """Full channel objects as rows."""
-    return projections.channel_rows(raw(spark, sf_dir)).select("raw_id", "id", "title", "about", "kind", "linked_chat_id", "participants_count", "about_hash")
+    return projections.channel_rows(raw(spark, sf_dir)).select("raw_id", "id", "title", "about", "kind", "linked_chat_id", "participants_count", "about_hash", "online_count", "flags_json", "restriction_json")
 
 
 _PEERS = f"""with {_OPEN}, o as (select raw_id, observed_at, os[pos] as o, pos - 1 as pos from (select raw_id, observed_at, os, unnest(range(1, len(os) + 1)) as pos from (
@@ -142,15 +157,15 @@ named as (select *, lower(json_extract_string(o, '$._')) as t, list_filter(coale
 peers as (select raw_id, pos, observed_at, case when t like 'user%' then 'user' when t like 'channel%' then 'channel' when t like 'chat%' then 'chat' end as kind, cast(json_extract_string(o, '$.id') as bigint) as id,
   cast(json_extract_string(o, '$.access_hash') as bigint) as access_hash, cast(coalesce(json_extract_string(o, '$.min') = 'true', false) as int) as is_min,
   case when length(json_extract_string(o, '$.username')) > 0 then json_extract_string(o, '$.username') when len(ed) > 0 then json_extract_string(ed[1], '$.username') else json_extract_string(ac[1], '$.username') end as username,
-  json_extract_string(o, '$.first_name') as first_name, json_extract_string(o, '$.last_name') as last_name, json_extract_string(o, '$.title') as title from named),
+  json_extract_string(o, '$.first_name') as first_name, json_extract_string(o, '$.last_name') as last_name, json_extract_string(o, '$.title') as title, {_flags(projections.PEER_FLAGS, "o")} as flags_json from named),
 p as (select 'tg:' || kind || ':' || id as uri, * from peers where kind is not null)
 """
 
 
-@query(_PEERS + "select uri, kind, id, is_min, username, first_name, title, raw_id, cast(pos as int) as pos from p")
+@query(_PEERS + "select uri, kind, id, is_min, access_hash, username, first_name, last_name, title, flags_json, raw_id, cast(pos as int) as pos from p")
 def peer_projection(spark, sf_dir):
     """Chats and users of every payload as peers."""
-    return projections.peer_rows(raw(spark, sf_dir)).select("uri", "kind", "id", "is_min", "username", "first_name", "title", "raw_id", "pos")
+    return projections.peer_rows(raw(spark, sf_dir)).select("uri", "kind", "id", "is_min", "access_hash", "username", "first_name", "last_name", "title", "flags_json", "raw_id", "pos")
 
 
 @query(
@@ -217,6 +232,20 @@ def current_messages(spark, sf_dir):
     return merge.last_state(obs, ["channel_id", "msg_id"], ["arrival"], first=["first_seen"]).select(*cols)
 
 
+@query(
+    f"""with {_OPEN}, f as (select raw_id, observed_at, json_extract(j, '$.full_chat') as c, list_filter(coalesce(cast(json_extract(j, '$.chats') as json[]), []), lambda x: json_extract_string(x, '$.id') = json_extract_string(j, '$.full_chat.id'))[1] as own from opened where json_extract_string(j, '$.full_chat.id') is not null),
+r as (select cast(json_extract_string(c, '$.id') as bigint) as id, raw_id, observed_at, json_extract_string(own, '$.title') as title, json_extract_string(c, '$.about') as about, cast(json_extract_string(c, '$.participants_count') as bigint) as participants_count, row_number() over (partition by json_extract_string(c, '$.id') order by raw_id desc) as rn,
+  first_value(observed_at) over (partition by json_extract_string(c, '$.id') order by raw_id) as first_seen, count(*) over (partition by json_extract_string(c, '$.id')) as n_snapshots from f)
+select id, title, about, participants_count, raw_id as source_raw_id, first_seen, observed_at as last_seen, n_snapshots from r where rn = 1"""
+)
+def projected_channels(spark, sf_dir):
+    """Channels from full objects: all columns of the last observation, first seen from the first, a snapshot for each."""
+    rows = projections.channel_rows(raw(spark, sf_dir)).withColumn("arrival", F.col("raw_id")).withColumn("first_seen", F.col("observed_at"))
+    last = merge.last_state(rows, ["id"], ["arrival"], first=["first_seen"])
+    snapshots = rows.groupBy("id").agg(F.count("*").alias("n_snapshots"))
+    return last.join(snapshots, "id").select("id", "title", "about", "participants_count", F.col("raw_id").alias("source_raw_id"), "first_seen", F.col("observed_at").alias("last_seen"), "n_snapshots")
+
+
 @query("select channel_id, max(id) as id, arg_max(coalesce(title, ''), id) as title, arg_max(coalesce(participants_count, -1), id) as participants_count from channel_snapshots group by 1")
 def current_channels(spark, sf_dir):
     """The last landed snapshot of each channel."""
