@@ -131,9 +131,9 @@ def content_hash(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", h.alias("computed"), (h == F.col("content_hash")).alias("same"))
 
 
-@query("select distinct source_raw_id, uri, content_hash from messages where source_raw_id is not null")
+@query(f"with {_OPEN} select distinct source_raw_id, uri, content_hash from messages where source_raw_id in (select raw_id from opened)")
 def projected_hashes(spark, sf_dir):
-    """Delivered hashes (of text and canonical media) that come out of the raw record they name."""
+    """Delivered hashes (of text and canonical media) that come out of the raw record they name, if that is valid JSON."""
     found = projections.message_rows(observed(spark, sf_dir)).select("source_raw_id", "uri", "content_hash").distinct()
     return messages(spark, sf_dir).where("source_raw_id is not null").select("source_raw_id", "uri", "content_hash").distinct().join(found, ["source_raw_id", "uri", "content_hash"], "left_semi")
 
