@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,7 @@ _FOLD = str.maketrans({c: " " for c in "0123456789０１２３４５６７８９
 _BLANKS = re.compile(r" {2,}")
 
 
+@lru_cache(4096)
 def normal_label(label: str | None) -> str | None:
     """The two-letter code of a label in any notation; None if it is missing or names no known language."""
     if label is None:

@@ -62,56 +62,65 @@ def word_type(token: str) -> str:
     return NUMBER if token[:1].isdigit() else token.lower()
 
 
-def count_document(text: str, label: str | None, out: Counter) -> None:
-    """Adds a document's counts: (group, kind, type, following type) -> n.
+def count_document(text: str, label: str | None, out: list) -> None:
+    """Appends what a document counts: (script, language, kind, type, following type).
 
     Kinds: `w` type without, `p` type with a period; `s` type at an unambiguous begin of a
     sentence (of a text, or after an end mark that is no period); `l` type with a period
     before a small letter; `f` type with a period and the type that follows it otherwise.
+    The language is empty where the label is missing or of another script than the word.
     """
-    code = normal_label(label)
+    code = normal_label(label) or ""
+    written = SCRIPTS.get(code, "latin")
+    count = out.append
     for par in _PARAGRAPH.split(text):
         own = script_of(par)
-        previous, gap_end = None, 0
+        previous, after_period, gap_end = None, False, 0
         for m in _TOKEN.finditer(par):
             token = m.group()
-            period = token.endswith(".")
             # Only a period before a blank, a mark or the end can end a sentence.
+            period = token[-1] == "."
             bare = token[:-1] if period else token
-            kind = word_type(bare)
-            first = bare[:1]
-            gap = par[gap_end : m.start()]
-            listed = period and kind == NUMBER and not gap.rpartition("\n")[2].strip() and ("\n" in gap or previous is None)
-            script = script_of(bare) if first.isalpha() else own
-            groups = (script, code) if code and SCRIPTS.get(code, "latin") == script else (script,)
-            for g in groups:
-                if listed:
+            first = bare[0]
+            if first.isalpha():
+                kind, script = bare.lower(), "latin" if first < "\u0370" else script_of(bare)
+            else:
+                kind, script = NUMBER if first.isdigit() else bare.lower(), own
+            if period and kind == NUMBER:
+                gap = par[gap_end : m.start()]
+                if not gap.rpartition("\n")[2].strip() and ("\n" in gap or previous is None):  # a list mark
+                    previous, gap_end = None, m.end()
                     continue
-                out[g, "p" if period else "w", kind, ""] += 1
-                if previous is None:
-                    if not first.islower():
-                        out[g, "s", kind, ""] += 1
-                elif previous[1]:
-                    if first.islower():
-                        out[g, "l", previous[0], ""] += 1
-                    else:
-                        out[g, "f", previous[0], kind] += 1
-                elif first.isupper() and any(c in gap for c in "!?…") and not any(c in gap for c in _QUOTES):
-                    out[g, "s", kind, ""] += 1
-            if listed:
-                previous, gap_end = None, m.end()
-                continue
-            previous, gap_end = (kind, period), m.end()
-
-
-_COUNTS = pa.schema([("grp", pa.string()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+            lang = code if script == written else ""
+            count((script, lang, "p" if period else "w", kind, ""))
+            if previous is None:
+                if not first.islower():
+                    count((script, lang, "s", kind, ""))
+            elif after_period:
+                if first.islower():
+                    count((script, lang, "l", previous, ""))
+                else:
+                    count((script, lang, "f", previous, kind))
+            elif first.isupper():
+                gap = par[gap_end : m.start()]
+                if gap != " " and any(c in gap for c in "!?…") and not any(c in gap for c in _QUOTES):
+                    count((script, lang, "s", kind, ""))
+            previous, after_period, gap_end = kind, period, m.end()
+
+
+_COUNTS = pa.schema([("script", pa.string()), ("lang", pa.string()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
 
 def _count(batches):
     out: Counter = Counter()
     for batch in batches:
+        seen: list = []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            count_document(text, label, out)
+            count_document(text, label, seen)
+            if len(seen) > 100_000:
+                out.update(seen)
+                seen = []
+        out.update(seen)
         if len(out) > 200_000:
             yield _counted(out)
             out = Counter()
@@ -119,14 +128,16 @@ def _count(batches):
 
 
 def _counted(out: Counter) -> pa.RecordBatch:
-    columns = [[k[i] for k in out] for i in range(4)] + [list(out.values())]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
+    columns = [list(c) for c in zip(*out)] if out else [[] for _ in range(5)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, list(out.values())], _COUNTS)], schema=_COUNTS)
 
 
 def counts(docs: DataFrame, text: Column, label: Column) -> DataFrame:
-    """The corpus counts: grp, kind, a, b, n."""
+    """The corpus counts: grp, kind, a, b, n.  What counts for a script also counts for the language, if there is one."""
     slim = docs.select(text.alias("text"), label.cast("string").alias("label")).where("text is not null and text <> ''")
-    return slim.mapInArrow(_count, "grp string, kind string, a string, b string, n bigint").groupBy("grp", "kind", "a", "b").agg(F.sum("n").alias("n"))
+    partial = slim.mapInArrow(_count, "script string, lang string, kind string, a string, b string, n bigint")
+    groups = F.when(F.col("lang") == "", F.array("script")).otherwise(F.array("script", "lang"))
+    return partial.select(F.explode(groups).alias("grp"), "kind", "a", "b", "n").groupBy("grp", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def _ll(k: Column, n: Column, p: Column) -> Column:
@@ -394,7 +405,10 @@ def _cut(shared):
 def sentences(docs: DataFrame, doc_id: Column, text: Column, label: Column, stats: Statistics | None = None) -> DataFrame:
     """doc_id, sent_no, char_start, char_end of every sentence (code points, end exclusive)."""
     if stats is None:
-        stats = learn(Scratch(docs.sparkSession, "sentence-counts").write(counts(docs, text, label))[0])
+        scratch = Scratch(docs.sparkSession, "sentence-counts")
+        counted, path = scratch.write(counts(docs, text, label))
+        stats = learn(counted)
+        scratch.drop(path)
     shared = docs.sparkSession.sparkContext.broadcast(stats)
     slim = docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"), label.cast("string").alias("label")).where("text is not null and text <> ''")
     return slim.mapInArrow(_cut(shared), "doc_id bigint, sent_no int, char_start bigint, char_end bigint")
