@@ -7,7 +7,6 @@ functions, exports and the change stream.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from skiffline.functions import archive as fn
 from skiffline.functions.instants import instant_micros, instant_sql
 from skiffline.operators import merge, operations, projections, search, split, web
-from skiffline.session import scratch_root, table
+from skiffline.session import scratch_folder, table
 from skiffline.sources import tables
 from skiffline.streaming import feed
 
@@ -676,7 +675,7 @@ def change_stream(spark, sf_dir):
     schema = messages(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, sf_dir))
     events = feed.change_events(stream.select(F.col("uri").alias("key"), F.col("content_hash").alias("digest"), F.col("seq").alias("order")))
-    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "stream")
     out = f"{root}/out"
     feed.run_once(events, f"{root}/checkpoint", feed.batch_writer(out))
     return spark.read.schema("key string, order bigint, kind string").parquet(out).select("key", "order", "kind")

@@ -7,7 +7,6 @@ tables; their operators run on stand-ins that the queries build from channels an
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from skiffline.functions import archive as fn
 from skiffline.operators import changes, merge, projections, web
 from skiffline.plans.archive_queries import _FORWARD, _OPEN, _OWN
-from skiffline.session import scratch_root, table
+from skiffline.session import scratch_folder, table
 from skiffline.sources import tables
 from skiffline.streaming import feed
 
@@ -97,7 +96,7 @@ def differences_by_channel(spark, sf_dir):
 @query(_BATCHES + "select channel_id, max(cur) as pts from o where channel_id is not null group by 1")
 def cursor_stream(spark, sf_dir):
     """The highest cursor of each channel as a stream's state, read from landed batches."""
-    root = f"{scratch_root(spark)}/cursors-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "cursors")
     changes.batches(table(spark, sf_dir, "raw_records")).where("channel_id is not null").select("raw_id", "channel_id", F.col("cursor").alias("pts")).write.parquet(f"{root}/landed")
     stream = feed.landed(spark, f"{root}/landed", "raw_id bigint, channel_id bigint, pts bigint")
     feed.run_once(feed.cursors(stream), f"{root}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")
@@ -108,7 +107,7 @@ def cursor_stream(spark, sf_dir):
 from messages where media_kind is not null and deleted_at is null and coalesce(json_extract_string(media_json, '$.photo.id'), json_extract_string(media_json, '$.document.id')) is not null""")
 def media_stream(spark, sf_dir):
     """Contents a stream of media rows had not seen before."""
-    root = f"{scratch_root(spark)}/media-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "media")
     projections.media_rows(table(spark, sf_dir, "messages")).where("content_id is not null").select("kind", "content_id").write.parquet(f"{root}/landed")
     stream = feed.landed(spark, f"{root}/landed", "kind string, content_id bigint")
     feed.run_once(feed.unseen(stream, ["kind", "content_id"]), f"{root}/checkpoint", feed.batch_writer(f"{root}/out"))
@@ -135,7 +134,7 @@ def channel_export(spark, sf_dir):
     """One channel exported to three sorted files, the collecting account left out, and read back."""
     m = table(spark, sf_dir, "messages")
     cur = merge.last_state(m.withColumn("arrival", F.col("seq")), ["channel_id", "msg_id"], ["arrival"])
-    out = f"{scratch_root(spark)}/export-{uuid.uuid4().hex}"
+    out = scratch_folder(spark, "export")
     tables.export_channel(table(spark, sf_dir, "channels"), merge.nested_revisions(cur.where(F.col("channel_id") == _CHANNEL), table(spark, sf_dir, "message_revisions")), _edges(spark, sf_dir), f"tg:channel:{_CHANNEL}", out, _OWN)
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     channel = spark.read.schema("uri string").json(f"{out}/channel").groupBy(F.col("uri").alias("key")).agg(F.count("*").alias("n_rows")).select(F.lit("channel").alias("file"), "key", "n_rows", zero.alias("n_nested"))

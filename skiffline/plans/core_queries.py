@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from skiffline.functions.instants import instant_micros, instant_sql
 from skiffline.operators import changefeed, hierarchy, history, nested
-from skiffline.session import scratch_root, table
+from skiffline.session import scratch_folder, table
 
 ATTRIBUTES = ["title", "username", "participants_count"]
 
@@ -46,7 +45,7 @@ def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     Tables of different fields (``raw_records.payload``, ``messages.media_json``...) with the same tag stay apart.
     """
     rows = emission(spark, sf_dir, payload=True).withColumn("tag", F.concat_ws(":", "field", "tag"))
-    path = f"{scratch_root(spark)}/flat-tables-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "flat-tables")
     nested.write_tables(rows, path)
     store = spark.read.parquet(path)
     counts = []

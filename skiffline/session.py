@@ -7,6 +7,8 @@ no finished round; a machine-local folder is only used by a local master.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -54,16 +56,45 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables, under one that belongs to the application and goes when this process ends."""
+    own = f"{scratch_root(spark)}/skiffline-{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(own)
+        atexit.register(_end, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+_OWN_FOLDERS: set[str] = set()
+
+
+def _end(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before, then whoever owns the folder clears it
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes every intermediate table of this application; results that still read one are lost."""
+    remove(spark, f"{scratch_root(spark)}/skiffline-{spark.sparkContext.applicationId}")
+
+
 class Scratch:
     """Writes a DataFrame to the shared folder and reads it back.
 
-    ``replace`` also removes the table it supersedes, so an iteration of many
-    rounds holds two rounds on disk at most.
+    ``drop`` removes a table that nothing reads any more, so an iteration of many rounds
+    holds two rounds on disk at most; the rest goes with the application's folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.base = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.base = scratch_folder(spark, label)
         self.count = 0
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
@@ -73,8 +104,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str | None) -> None:
-        if path is None:
-            return
-        jvm = self.spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        if path is not None:
+            remove(self.spark, path)

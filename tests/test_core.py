@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skiffline.functions.instants import instant_micros
 from skiffline.operators import changefeed, hierarchy, history, nested, split
-from skiffline.session import Scratch
+from skiffline.session import Scratch, clear_scratch
 
 # --- instants
 
@@ -264,3 +265,11 @@ def test_large_blocks_are_cut(spark):
     assert few.select("_b").distinct().count() == 6
     whole = split.neighbour(df, ["k"], ["t"], "x", F.lit(0), "before", by_count=True)
     assert whole.where("before <> x - 2").count() == 0
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    scratch = Scratch(spark, "cleared")
+    back, path = scratch.write(spark.range(3))
+    assert back.count() == 3 and Path(path.removeprefix("file:")).exists()
+    clear_scratch(spark)
+    assert not Path(path.removeprefix("file:")).exists()
