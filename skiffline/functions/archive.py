@@ -221,5 +221,12 @@ def canonical_json(texts: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions usable from SQL text.  Those of columns become SQL functions, so they stay in the JVM."""
+    """Makes some of the functions usable from SQL text: canonical_json as an Arrow-batched one, the others as SQL functions that stay in the JVM."""
     spark.udf.register("canonical_json", canonical_json)
+    for head, body in {
+        "entity_uri(kind string, id bigint) returns string": f"concat('{SCHEME}:', kind, ':', id)",
+        "message_uri(channel_id bigint, msg_id bigint) returns string": f"concat('{SCHEME}:msg:', channel_id, '/', msg_id)",
+        "message_hash(text string, media_json string) returns string": "sha2(concat(text, char(0), coalesce(media_json, '')), 256)",
+        "iso_time(at timestamp) returns string": "concat(date_format(at, \"yyyy-MM-dd'T'HH:mm:ss\"), case when pmod(unix_micros(at), 1000000) = 0 then '' else concat('.', lpad(pmod(unix_micros(at), 1000000), 6, '0')) end, '+00:00')",
+    }.items():
+        spark.sql(f"create or replace temporary function {head} return {body}")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The phases in their order, and what privacy is looked at.
 PHASES = ["channel", "history", "graph", "web", "media"]
 NEEDS_CHANNEL = {"history", "graph", "media", "web"}
 
@@ -27,6 +28,37 @@ def blocked(checks: DataFrame) -> DataFrame:
     return checks.groupBy("profile").agg(F.bool_or((F.col("severity") == "fail") & ~F.col("ok")).alias("blocked"))
 
 
+PRIVACY = ["phone", "lastseen", "photo"]
+OPEN_TO_ALL = "privacyvalueallowall"
+
+
+def preflight(accounts: DataFrame, now: Column, least_age: float) -> DataFrame:
+    """profile, name, ok, severity: seven checks of each account before anything is collected.
+
+    accounts: profile, require_proxy, proxy, session_created (microseconds of the current
+    session, NULL if there is none), has_password, username, photo, about, and for each of
+    ``PRIVACY`` its rules as JSON (``phone_rules`` and so on).  No rules are open ones.
+    """
+
+    def restricted(key: str) -> Column:
+        first = F.get(F.from_json(f"{key}_rules", "struct<rules:array<struct<_:string>>>")["rules"], 0)["_"]
+        return first.isNotNull() & (F.lower(first) != OPEN_TO_ALL)
+
+    def some(name: str) -> Column:
+        return F.coalesce(F.length(name) > 0, F.lit(False))
+
+    age = (now - F.col("session_created")) / F.lit(86_400_000_000)
+    checks = {
+        "proxy": (~F.coalesce("require_proxy", F.lit(False)) | some("proxy"), "fail"),
+        "session_age": (F.coalesce(age >= least_age, F.lit(False)), "fail"),
+        "two_factor_auth": (F.coalesce("has_password", F.lit(False)), "fail"),
+        **{f"privacy_{key}": (restricted(key), "fail") for key in PRIVACY},
+        "minimal_profile": (~some("username") & ~some("photo") & ~some("about"), "warn"),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), ok.alias("ok"), F.lit(severity).alias("severity")) for name, (ok, severity) in checks.items()])
+    return accounts.select("profile", F.inline(rows))
+
+
 def session_age_days(created: Column, now: Column) -> Column:
     """Whole days since a session began (microseconds in, days out)."""
     return F.floor((now - created) / F.lit(86_400_000_000))

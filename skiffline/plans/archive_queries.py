@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skiffline.functions import archive as fn
 from skiffline.functions.instants import instant_micros, instant_sql
 from skiffline.operators import merge, operations, projections, search, split, web
-from skiffline.session import scratch_folder, table
+from skiffline.session import built_once, scratch_folder, table
 from skiffline.sources import tables
 from skiffline.streaming import feed
 
@@ -85,8 +85,7 @@ def canonical_media(spark, sf_dir):
 def history_page(spark, sf_dir):
     """One page of the first channel's history below an id (the page size is the feature)."""
     m = messages(spark, sf_dir)
-    channel = m.agg(F.min("channel_id")).first()[0]
-    return tables.history_page(m, channel, 200).select("channel_id", "msg_id", "seq")
+    return tables.history_page(m, m.agg(F.min("channel_id")).scalar(), 200).select("channel_id", "msg_id", "seq")
 
 
 @query("""with w as (select distinct channel_id, msg_id + 1 as msg_id from messages)
@@ -102,8 +101,7 @@ select raw_id, pts from d where pts > (select floor(avg(pts)) from d)""")
 def difference_since(spark, sf_dir):
     """Change batches past a cursor (the mean cursor of all)."""
     d = projections.parsed(raw(spark, sf_dir)).where("tag like '%channeldifference%'").select("raw_id", F.col("p.pts").alias("pts"))
-    cursor = d.agg(F.floor(F.avg("pts")).alias("cursor"))
-    return d.join(F.broadcast(cursor), F.col("pts") > F.col("cursor")).select("raw_id", "pts")  # the cursor is one row
+    return d.where(F.col("pts") > d.agg(F.floor(F.avg("pts"))).scalar())
 
 
 # --- projections ---------------------------------------------------------------------
@@ -415,11 +413,8 @@ def routed_payloads(spark, sf_dir):
 def status_counts(spark, sf_dir):
     """A1: rows of each table."""
     names = ["channels", "messages", "message_revisions", "message_tombstones"]
-    parts = [table(spark, sf_dir, n).agg(F.count("*").alias(n.removeprefix("message_") if n != "messages" else n)) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p), F.lit(True))  # one row each
-    return out
+    counts = {n if n == "messages" else n.removeprefix("message_"): table(spark, sf_dir, n).agg(F.count("*")).scalar() for n in names}
+    return spark.range(1).select(*[c.alias(n) for n, c in counts.items()])
 
 
 @query(r"""with a as (select channel_id, 1 as m, 0 as r, 0 as t from messages union all select cast(regexp_extract(message_uri, '^tg:msg:([0-9]+)/', 1) as bigint), 0, 1, 0 from message_revisions union all select cast(regexp_extract(message_uri, '^tg:msg:([0-9]+)/', 1) as bigint), 0, 0, 1 from message_tombstones)
@@ -469,13 +464,14 @@ def archive_collapse(spark, sf_dir):
     return merge.collapsed(w, ["channel_username", "msg_id"], "content_hash", "at", "id", F.col("content_hash").isNotNull()).select("id", "url", "content_hash")
 
 
-@query("""with e as (select uri, seq, unnest(cast(entities_json as json[])) as e from messages where entities_json is not null), u as (select uri, seq, json_extract_string(e, '$.url') as url from e where lower(json_extract_string(e, '$._')) = 'messageentitytexturl')
-select url, string_agg(uri, ',' order by seq, uri) as uris, count(*) as n from u group by 1""")
+@query("""with e as (select uri, seq, cast(unnest(range(cast(json_array_length(entities_json) as bigint))) as int) as pos, unnest(cast(entities_json as json[])) as e from messages where entities_json is not null), u as (select uri, seq, pos, json_extract_string(e, '$.url') as url from e where lower(json_extract_string(e, '$._')) = 'messageentitytexturl')
+select url, uri, row_number() over (partition by url order by seq, pos) as place, count(*) over (partition by url) as n from u""")
 def link_groups(spark, sf_dir):
-    """A10, K8: messages of each hidden link, in order."""
+    """A10, K8: messages of each hidden link, numbered in their order; a row each, so no group is gathered in one."""
     links = F.from_json("entities_json", "array<struct<_:string,url:string>>")
-    rows = messages(spark, sf_dir).where("entities_json is not null").select("uri", "seq", F.explode(links).alias("e")).where(fn.tag_is(F.col("e._"), "messageentitytexturl"))
-    return rows.groupBy(F.col("e.url").alias("url")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "uri"))), lambda x: x["uri"]), ",").alias("uris"), F.count("*").alias("n"))
+    rows = messages(spark, sf_dir).where("entities_json is not null").select("uri", "seq", F.posexplode(links).alias("pos", "e")).where(fn.tag_is(F.col("e._"), "messageentitytexturl")).select(F.col("e.url").alias("url"), "uri", "seq", "pos", F.lit(1).alias("one"))
+    numbered = split.running_sum(rows, ["url"], ["seq", "pos"], "one", split.id_block(F.col("seq")), "place")
+    return numbered.join(rows.groupBy("url").agg(F.count("*").alias("n")), "url").select("url", "uri", "place", "n")
 
 
 @query("select user_id as profile, bool_or(event_type = 'error' and value > 50) as blocked from events group by 1")
@@ -486,6 +482,33 @@ def preflight(spark, sf_dir):
     return operations.blocked(checks)
 
 
+@query("""with a as (select c_custkey as profile, c_custkey % 2 = 0 as need, case when c_custkey % 3 = 0 then 'socks' end as proxy, c_acctbal as age, c_mktsegment = 'BUILDING' as pw, c_nationkey as n, c_name as name from customer),
+c as (select profile, 'proxy' as name, not need or proxy is not null as ok, 'fail' as severity from a union all select profile, 'session_age', coalesce(age >= 30, false), 'fail' from a union all select profile, 'two_factor_auth', coalesce(pw, false), 'fail' from a
+  union all select profile, 'privacy_phone', coalesce(n % 4 in (1, 2), false), 'fail' from a union all select profile, 'privacy_lastseen', coalesce(n % 4 = 1, false), 'fail' from a union all select profile, 'privacy_photo', coalesce(n % 4 = 2, false), 'fail' from a union all select profile, 'minimal_profile', coalesce(profile % 5 <> 0, false), 'warn' from a)
+select profile, name, ok, severity, bool_or(severity = 'fail' and not ok) over (partition by profile) as blocks from c""")
+def preflight_checks(spark, sf_dir):
+    """Seven checks of each account, and whether one blocks it (customers as stand-in of accounts)."""
+    c = table(spark, sf_dir, "customer")
+    now, n = F.lit(1_767_225_600_000_000), F.col("c_nationkey") % 4
+    closed, all_, none = F.lit('{"rules":[{"_":"PrivacyValueDisallowAll"}]}'), F.lit('{"rules":[{"_":"PrivacyValueAllowAll"}]}'), F.lit('{"rules":[]}')
+    accounts = c.select(
+        F.col("c_custkey").alias("profile"),
+        (F.col("c_custkey") % 2 == 0).alias("require_proxy"),
+        F.when(F.col("c_custkey") % 3 == 0, "socks").alias("proxy"),
+        (now - F.col("c_acctbal") * 86_400_000_000).alias("session_created"),
+        (F.col("c_mktsegment") == "BUILDING").alias("has_password"),
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).alias("username"),
+        F.lit("").alias("photo"),
+        F.lit(None).cast("string").alias("about"),
+        F.when(n.isin(1, 2), closed).otherwise(all_).alias("phone_rules"),
+        F.when(n == 1, closed).otherwise(none).alias("lastseen_rules"),
+        F.when(n == 2, closed).alias("photo_rules"),
+    )
+    checks = operations.preflight(accounts, now, 30)
+    blocked = operations.blocked(checks)
+    return checks.join(blocked.select("profile", F.col("blocked").alias("blocks")), "profile")
+
+
 # --- graph ---------------------------------------------------------------------------------
 
 
@@ -572,7 +595,28 @@ _WORDS = "with t as (select doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9
 
 
 def _index(spark, sf_dir):
-    return search.tokens(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+    """The documents' token table, written once in an application."""
+    return built_once(spark, sf_dir, ["documents"], "document-tokens", lambda: search.by_token(search.tokens(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))))
+
+
+def _message_index(spark, sf_dir):
+    return built_once(spark, sf_dir, ["messages"], "message-tokens", lambda: search.by_token(search.tokens(messages(spark, sf_dir), F.col("seq"), F.col("text"))))
+
+
+_TOKENS = f"""words as (select seq as id, unnest(list_filter(regexp_split_to_array(translate(lower(text), '{search.ACCENTED}', '{search.PLAIN[: len(search.ACCENTED)]}'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '')) as token, unnest(range(len(list_filter(regexp_split_to_array(translate(lower(text), '{search.ACCENTED}', '{search.PLAIN[: len(search.ACCENTED)]}'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '')))) as pos from messages)"""
+
+
+@query(f"with {_TOKENS} select distinct a.id as seq from words a join words b on b.id = a.id and b.token = 'poll' and abs(a.pos - b.pos) <= 4 where a.token = 'harbour'")
+def search_near(spark, sf_dir):
+    """Messages with two words near each other."""
+    return search.near(_message_index(spark, sf_dir), "harbour", "poll", between=3).select(F.col("id").alias("seq"))
+
+
+@query(f"""with {_TOKENS}, lens as (select id, count(*) as n from words group by 1), hits as (select id, token, count(*) as tf from words where token in ('ferry', 'midnight') group by 1, 2), dfs as (select token, count(*) as df from hits group by 1), w as (select count(*) as total, avg(n) as mean from lens)
+select h.id as seq, round(sum(greatest(ln((w.total - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / w.mean))), 6) as score from hits h join dfs d on d.token = h.token join lens l on l.id = h.id cross join w group by 1""")
+def search_ranked(spark, sf_dir):
+    """Messages with either word, with their rank."""
+    return search.ranked(_message_index(spark, sf_dir), ["ferry", "midnight"]).select(F.col("id").alias("seq"), F.round("score", 6).alias("score"))
 
 
 @query(_WORDS + " select doc_id from t where w like '% harbour %' and w like '% poll %' and w not like '% storm %'")

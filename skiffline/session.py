@@ -11,6 +11,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,3 +107,28 @@ class Scratch:
     def drop(self, path: str | None) -> None:
         if path is not None:
             remove(self.spark, path)
+
+
+_BUILT: dict = {}
+
+
+def built_once(spark: SparkSession, sf_dir: str, names: list[str], label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once in an application for the files that its source tables have now."""
+    files = []
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    key = (spark.sparkContext.applicationId, label, tuple(files))
+    if key not in _BUILT or not _exists(spark, _BUILT[key][0]):
+        df = build()
+        path = scratch_folder(spark, label)
+        df.write.parquet(path)
+        _BUILT[key] = (path, df.schema)
+    path, schema = _BUILT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)

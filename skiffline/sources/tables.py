@@ -64,7 +64,7 @@ def opened(payload: Column) -> Column:
     return F.when(F.try_parse_json(inner).isNotNull(), inner)
 
 
-def history_page(messages: DataFrame, channel: int, before: int, size: int = 100) -> DataFrame:
+def history_page(messages: DataFrame, channel: int | Column, before: int, size: int = 100) -> DataFrame:
     """One page of a channel's history, newest first, below a message id (0: from the top)."""
     rows = messages.where(F.col("channel_id") == channel)
     if before:

@@ -306,6 +306,23 @@ def test_search_like_fts(spark):
         assert sorted(r.id for r in search.search(index, **kw).collect()) == want, match
 
 
+def test_near_and_ranking(spark):
+    docs = [(1, "ferry one two three four harbour"), (2, "harbour ferry"), (3, "ferry"), (4, "nothing here"), (5, "ferry ferry ferry")]
+    index = search.by_token(search.tokens(spark.createDataFrame(docs, "i bigint, t string"), F.col("i"), F.col("t")))
+    assert {r.id for r in search.near(index, "harbour", "ferry", 3).collect()} == {2}
+    assert {r.id for r in search.near(index, "harbour", "ferry", 4).collect()} == {1, 2}
+    assert {r.id for r in search.near(index, "ferry", "ferry", 1).collect()} == {5}
+    scores = {r.id: r.score for r in search.ranked(index, ["harbour"]).collect()}
+    assert set(scores) == {1, 2} and scores[2] > scores[1] > 0
+
+
+def test_sql_functions(spark):
+    fn.register(spark)
+    r = spark.sql("select entity_uri('user', 5) as a, message_uri(5, 7) as b, message_hash('x', null) as c, iso_time(timestamp_micros(1500000)) as d, canonical_json('{\"b\":1,\"a\":2}') as e").first()
+    assert tuple(r)[:2] == ("tg:user:5", "tg:msg:5/7") and r.d == "1970-01-01T00:00:01.500000+00:00" and r.e == '{"a": 2, "b": 1}'
+    assert r.c == one(spark, fn.content_hash(F.col("t"), F.lit(None)), t="x")
+
+
 def test_operations(spark):
     log = spark.createDataFrame([("a", 100), ("a", 50), ("b", 10)], "method string, until bigint")
     assert {r.method: r.remaining for r in operations.cooldowns(log, F.lit(60)).collect()} == {"a": 40, "b": 0}
