@@ -65,7 +65,7 @@ def word_type(token: str) -> str:
 def count_document(text: str, label: str | None, out: list) -> None:
     """Appends what a document counts: (script, language, kind, type, following type).
 
-    Kinds: `w` type without, `p` type with a period; `s` type at an unambiguous begin of a
+    Kinds: `w` type without, `p` type with a period; `u` type with a capital; `s` type at an unambiguous begin of a
     sentence (of a text, or after an end mark that is no period); `l` type with a period
     before a small letter; `f` type with a period and the type that follows it otherwise.
     The language is empty where the label is missing or of another script than the word.
@@ -93,6 +93,8 @@ def count_document(text: str, label: str | None, out: list) -> None:
                     continue
             lang = code if script == written else ""
             count((script, lang, "p" if period else "w", kind, ""))
+            if first.isupper():
+                count((script, lang, "u", kind, ""))
             if previous is None:
                 if not first.islower():
                     count((script, lang, "s", kind, ""))
@@ -160,6 +162,7 @@ class Statistics:
     starters: dict[str, set[str]] = field(default_factory=dict)
     collocations: dict[str, set[tuple[str, str]]] = field(default_factory=dict)
     ordinals: set[str] = field(default_factory=set)
+    ordinary: dict[str, set[str]] = field(default_factory=dict)
 
 
 SIGNIFICANT = 7.88  #: -2 log lambda beyond which a rate differs (p = 0.005)
@@ -175,12 +178,14 @@ def learn(counted: DataFrame) -> Statistics:
        follows it is mostly no sentence start: a small letter, a number, or a capital
        that is no starter.  (The likelihood ratio alone grows with the corpus and would in
        time take in every word that tends to end sentences.)
-    3. A collocation is a pair around an abbreviation's period that occurs together
-       significantly more often than chance.
+    3. A collocation is a pair around the period of an abbreviation or ordinal number that
+       occurs together significantly more often than chance.
+    4. An ordinary word is one that follows a period with a capital though it is mostly
+       written small.
     """
     stats = Statistics()
     spark = counted.sparkSession
-    sums = {k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in ("p", "w", "l", "s")}
+    sums = {k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in ("p", "w", "l", "s", "u")}
     types = counted.where(F.col("kind").isin(*sums)).groupBy("grp", "a").agg(*sums.values()).withColumn("seen", F.col("p") + F.col("w"))
     totals = F.broadcast(types.groupBy(F.col("grp").alias("g")).agg(F.sum("p").alias("tp"), F.sum("s").alias("ts"), F.sum("seen").alias("tn")))  # one row a group: a few dozen
     rated = types.join(totals, F.col("grp") == F.col("g"))
@@ -203,7 +208,7 @@ def learn(counted: DataFrame) -> Statistics:
             stats.ordinals.add(row.grp)
         else:
             stats.abbreviations.setdefault(row.grp, set()).add(row.a)
-    shorts = spark.createDataFrame([(r.grp, r.a) for r in found if r.a != NUMBER], "xg string, xa string")
+    shorts = spark.createDataFrame([(r.grp, r.a) for r in found], "xg string, xa string")
     near = pairs.where(F.col("b") != NUMBER).join(F.broadcast(shorts), (F.col("grp") == F.col("xg")) & (F.col("a") == F.col("xa")), "left_semi")
     words = types.select("grp", "a", "seen")
     near = near.join(words.withColumnsRenamed({"a": "b", "seen": "nb"}), ["grp", "b"]).join(words.withColumnsRenamed({"seen": "na"}), ["grp", "a"]).join(totals, F.col("grp") == F.col("g"))
@@ -211,6 +216,10 @@ def learn(counted: DataFrame) -> Statistics:
     tied = ratio(together, F.col("na"), F.greatest(F.col("nb") - together, F.lit(0.0)), F.col("tn") - F.col("na"))
     for row in near.where((F.col("n") >= 3) & (together / F.col("na") > F.col("nb") / F.col("tn")) & (tied >= SIGNIFICANT)).select("grp", "a", "b").collect():
         stats.collocations.setdefault(row.grp, set()).add((row.a, row.b))
+    follows = pairs.where(F.col("b") != NUMBER).select("grp", F.col("b").alias("a")).distinct()
+    small = types.where((F.col("seen") >= 5) & (F.col("u") < 0.5 * F.col("seen")) & (F.col("u") > 0)).join(follows, ["grp", "a"], "left_semi")
+    for row in small.select("grp", "a").collect():
+        stats.ordinary.setdefault(row.grp, set()).add(row.a)
     return stats
 
 
@@ -225,7 +234,7 @@ class Splitter:
         got = self.cache.get(groups)
         if got is None:
             s = self.stats
-            got = tuple(set().union(*(part.get(g, ()) for g in groups)) for part in (s.abbreviations, s.starters, s.collocations))
+            got = tuple(set().union(*(part.get(g, ()) for g in groups)) for part in (s.abbreviations, s.starters, s.collocations, s.ordinary))
             got = (*got, bool(s.ordinals.intersection(groups)))
             self.cache[groups] = got
         return got
@@ -344,25 +353,28 @@ class Splitter:
         kind = word_type(last)
         if last[0].isalpha():
             script = script_of(last)
-        abbreviations, starters, collocations, ordinals = self._merged((script, code) if code and SCRIPTS.get(code, "latin") == script else (script,))
+        abbreviations, starters, collocations, ordinary, ordinals = self._merged((script, code) if code and SCRIPTS.get(code, "latin") == script else (script,))
         follow = word_type(word)
         opened = rest.start(1) > rest.start()
+        tied = (kind, follow) in collocations and follow not in starters
+        # A capital on a word that is mostly small begins a sentence, unless the pair belongs together.
+        begins = follow in starters or follow in ordinary and word[0].isupper() and not tied
         if kind == NUMBER:
             if glued:
                 return not word[0].isdigit()
             # A small ordinal number before a word that doesn't start sentences.
-            return not (ordinals and len(last) <= 2 and not opened and word[0].isupper() and follow not in starters)
+            return not (ordinals and len(last) <= 2 and not opened and word[0].isupper() and not begins)
         if glued and len(last) < 2:
             return False
         initial = len(last) == 1 and last.isupper()
         if kind in abbreviations or initial:
-            if (kind, follow) in collocations and follow not in starters:
+            if tied:
                 return False
             if initial and kind not in abbreviations and not opened:
-                return follow in starters and len(word) > 1
+                return begins and len(word) > 1
             if word[0].isdigit():
                 return False
-            return opened or follow in starters
+            return opened or begins
         return True
 
 

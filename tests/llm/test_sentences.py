@@ -78,3 +78,14 @@ def test_rare_types_of_large_groups_are_learned(spark):
     rows += [("en", "f", "abbr", "zed", 10), ("en", "w", "zed", None, 12)]
     stats = s.learn(spark.createDataFrame(rows, "grp string, kind string, a string, b string, n bigint"))
     assert "abbr" in stats.abbreviations["en"] and "thus" in stats.starters["en"] and ("abbr", "zed") in stats.collocations["en"]
+
+
+def test_collocations_decide(spark, stats):
+    """A small word written with a capital begins a sentence after a number or abbreviation, unless the pair belongs together."""
+    splitter = s.Splitter(stats)
+    without = s.Splitter(s.Statistics(stats.abbreviations, stats.starters, {}, stats.ordinals, stats.ordinary))
+    texts = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    assert sum(splitter.spans(t, l) != without.spans(t, l) for t, l in texts) > 5
+    made = s.Statistics({"latin": {"nr", "h"}}, {}, {"latin": {("h", "nr")}}, {"latin"}, {"latin": {"nr", "de", "bot"}})
+    cut = [t[a:b] for t in ["Wir sahen d. h. Nr. 32 dort. Das reicht.", "Hij mat bij kade nr. 7. De bot kwam."] for a, b in s.Splitter(made).spans(t)]
+    assert cut == ["Wir sahen d. h. Nr. 32 dort.", "Das reicht.", "Hij mat bij kade nr. 7.", "De bot kwam."]
