@@ -718,11 +718,9 @@ def change_stream(spark, sf_dir):
     """Landed observations as a stream; insert, edit or repeat by keyed state."""
     schema = messages(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, sf_dir))
-    events = feed.change_events(stream.select(F.col("uri").alias("key"), F.col("content_hash").alias("digest"), F.col("seq").alias("order")))
     root = scratch_folder(spark, "stream")
-    out = f"{root}/out"
-    feed.run_once(events, f"{root}/checkpoint", feed.batch_writer(out))
-    return spark.read.schema("key string, order bigint, kind string").parquet(out).select("key", "order", "kind")
+    feed.run_once(stream.select(F.col("uri").alias("key"), F.col("content_hash").alias("digest"), F.col("seq").alias("order")), f"{root}/checkpoint", feed.change_sink(root))
+    return feed.changes_of(spark, root)
 
 
 def _stream_folder(spark: SparkSession, sf_dir: str) -> str:

@@ -6,12 +6,15 @@ message, the cursor of a channel.  Nothing expires unless a time is given.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from skiffline.operators import split
+from skiffline.session import remove
+
+COMPACT = 8  #: batches after which the state is written anew as a whole
 
 
 def landed(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
@@ -19,20 +22,53 @@ def landed(spark: SparkSession, path: str, schema, files_per_batch: int = 64) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def change_events(stream: DataFrame) -> DataFrame:
-    """insert / edit / repeat for each observation (key, digest, order), by the key's last digest."""
+_STATE = "key string, digest string, since bigint"
+_EVENTS = "key string, order bigint, kind string"
+
+
+def kinds_of(batch: DataFrame, state: DataFrame) -> DataFrame:
+    """insert / edit / repeat for each observation (key, digest, order) of a batch, after the state (key, digest) before it.
+
+    Neighbours within the batch are compared in blocks of the order, only the first
+    observation of a key looks at the state; all of it are JVM operators.
+    """
+    rows = batch.select("key", "digest", "order", F.struct("digest").alias("now"))
+    rows = split.neighbour(rows, ["key"], ["order"], "now", split.id_block(F.col("order")), "before")
+    rows = rows.join(state.select(F.col("key").alias("k"), F.struct("digest").alias("last")), F.col("key") == F.col("k"), "left")
+    prior = F.coalesce("before", "last")
+    kind = F.when(prior.isNull(), "insert").when(prior["digest"].eqNullSafe(F.col("digest")), "repeat").otherwise("edit")
+    return rows.select("key", "order", kind.alias("kind"))
+
+
+def change_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes ``kinds_of`` each batch to ``root/out/batch=n`` and the state after it to ``root/state``.
+
+    The state is a log of the last digest of the keys that each batch had, written as a whole
+    every ``COMPACT`` batches, so a batch writes what it changed and reads few folders.  A
+    batch that runs again reads the state before it and overwrites its own folders.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        base = n - n % COMPACT if n % COMPACT else max(0, n - COMPACT)
+        folders = [f"{root}/state/batch={i}" for i in range(base, n)]
+        state = (spark.read.schema(_STATE).parquet(*folders) if folders else spark.createDataFrame([], _STATE)).groupBy("key").agg(F.max_by("digest", "since").alias("digest"), F.max("since").alias("since"))
+        rows = batch.select("key", "digest", F.col("order").cast("bigint").alias("order")).where("key is not null and order is not null")
+        kinds_of(rows, state).write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+        last = rows.groupBy("key").agg(F.max_by("digest", "order").alias("digest")).withColumn("since", F.lit(n).cast("bigint"))
+        if n % COMPACT == 0:
+            last = last.unionByName(state).groupBy("key").agg(F.max_by("digest", "since").alias("digest"), F.max("since").alias("since"))
+        last.select("key", "digest", "since").write.mode("overwrite").parquet(f"{root}/state/batch={n}")
+        if n % COMPACT == 0 and n >= 2 * COMPACT:
+            for i in range(n - 2 * COMPACT, n - COMPACT):
+                remove(spark, f"{root}/state/batch={i}")
+
+    return run
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, 0)
-        pdf = pd.concat(list(frames)).sort_values("order", kind="stable")
-        kinds = []
-        for digest in pdf["digest"]:
-            kinds.append("insert" if not seen else "repeat" if digest == last else "edit")
-            last, seen = digest, seen + 1
-        state.update((last, seen))
-        yield pd.DataFrame({"key": pdf["key"], "order": pdf["order"], "kind": kinds})
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key string, order bigint, kind string", "last string, seen bigint", "append", GroupStateTimeout.NoTimeout)
+def changes_of(spark: SparkSession, root: str) -> DataFrame:
+    """What ``change_sink`` has written so far: key, order, kind."""
+    return spark.read.schema(_EVENTS).parquet(f"{root}/out").select("key", "order", "kind")
 
 
 def cursors(stream: DataFrame) -> DataFrame:

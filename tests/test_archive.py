@@ -420,19 +420,31 @@ def test_wide_ranges_are_expanded_in_parts(spark):
     assert got.distinct().count() == 30_001
 
 
-def test_stream_resumes(spark, tmp_path):
+def test_stream_resumes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "COMPACT", 2)
     schema = "key string, digest string, `order` bigint"
-    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    source, root = str(tmp_path / "in"), str(tmp_path / "run")
 
     def land(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = feed.landed(spark, source, spark.createDataFrame([], schema).schema)
-        feed.run_once(feed.change_events(stream), check, feed.batch_writer(out))
-
-    land([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)])
-    land([("a", "y", 4), ("a", "x", 5), ("c", "z", 6)])
-    got = sorted((r.order, r.kind) for r in spark.read.parquet(out).collect())
-    assert got == [(1, "insert"), (2, "edit"), (3, "insert"), (4, "repeat"), (5, "edit"), (6, "insert")]
+        feed.run_once(feed.landed(spark, source, spark.createDataFrame([], schema).schema), f"{root}/checkpoint", feed.change_sink(root))
+
+    land([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("d", None, 4), (None, "x", 5)])
+    land([("a", "y", 6), ("a", "x", 7), ("c", "z", 8)])
+    for i in range(4):  # over several compactions
+        land([("a", "x", 10 + i)])
+    land([("b", "x", 20), ("c", "y", 21), ("d", None, 22), ("e", "x", 23)])
+    got = sorted((r.order, r.kind) for r in feed.changes_of(spark, root).collect())
+    assert got == [(1, "insert"), (2, "edit"), (3, "insert"), (4, "insert"), (6, "repeat"), (7, "edit"), (8, "insert"), *((10 + i, "repeat") for i in range(4)), (20, "repeat"), (21, "edit"), (22, "repeat"), (23, "insert")]
+
+
+def test_a_change_batch_can_run_again(spark, tmp_path):
+    sink = feed.change_sink(str(tmp_path))
+    first, second = (spark.createDataFrame(rows, "key string, digest string, `order` bigint") for rows in ([("a", "x", 1)], [("a", "y", 2), ("a", "y", 3)]))
+    sink(first, 0)
+    sink(second, 1)
+    sink(second, 1)
+    assert sorted((r.order, r.kind) for r in feed.changes_of(spark, str(tmp_path)).collect()) == [(1, "insert"), (2, "edit"), (3, "repeat")]
 
 
 def test_views(spark):
