@@ -564,11 +564,13 @@ def _counted(shared, with_seen: bool, flush: int = 200_000):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 t = _folded(text)
+                words = set(_WORD.findall(t.lower()))
                 if with_seen:
-                    seen.update(set(_WORD.findall(t.lower())))
-                g_new, f_new = beside(t, given, family)
-                as_given.update(g_new)
-                as_family.update(f_new)
+                    seen.update(words)
+                if not words.isdisjoint(given) or not words.isdisjoint(family):
+                    g_new, f_new = beside(t, given, family)
+                    as_given.update(g_new)
+                    as_family.update(f_new)
                 if len(seen) + len(as_given) + len(as_family) >= flush:
                     yield batch_of(as_given, as_family, seen)
                     as_given, as_family, seen = Counter(), Counter(), Counter()
