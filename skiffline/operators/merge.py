@@ -60,6 +60,29 @@ def dispositions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return marked.unionByName(bare.withColumn("disposition", F.lit("skipped_kind")))
 
 
+def stored_media(rows: DataFrame, files: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each media row's fate, with what is stored for it: disposition, sha256 (NULL if nothing is).
+
+    rows: keys (the last of them NULL: a kind that isn't stored), order and others; files:
+    keys, sha256 - the bytes that a content brings, a row a content.  ``unavailable`` without
+    bytes; of rows with the same bytes the first is ``downloaded``, all others are
+    ``duplicates``, whether content or bytes are known.
+    """
+    key = keys[-1]
+    have = files.select(*keys, "sha256").dropDuplicates(keys)
+    keyed = rows.where(F.col(key).isNotNull()).join(have, keys, "left")
+    first = keyed.where("sha256 is not null").groupBy(F.col("sha256").alias("_sha")).agg(F.min(F.struct(*order)).alias("_first"))
+    marked = keyed.join(first, F.col("sha256") == F.col("_sha"), "left")
+    fate = F.when(F.col("sha256").isNull(), "unavailable").when(F.struct(*order) == F.col("_first"), "downloaded").otherwise("duplicates")
+    bare = rows.where(F.col(key).isNull()).withColumns({"sha256": F.lit(None).cast("string"), "disposition": F.lit("skipped_kind")})
+    return marked.withColumn("disposition", fate).drop("_sha", "_first").unionByName(bare)
+
+
+def custody(stored: DataFrame) -> DataFrame:
+    """A row for each message that bytes are kept for: sha256, the path they lie under, the message."""
+    return stored.where("disposition in ('downloaded', 'duplicates')").select("sha256", F.concat_ws("/", F.substring("sha256", 1, 2), "sha256").alias("path"), F.col("uri").alias("source_message_uri"), "disposition")
+
+
 def revisions(obs: DataFrame, key: str, digest: str, order: str) -> DataFrame:
     """Observations whose digest differs from the one before; the first of a key is one too.  ``order``: the number of arrival."""
     rows = split.neighbour(obs, [key], [order], digest, split.id_block(F.col(order)), "_before")

@@ -107,3 +107,8 @@ def run_phases(phases: list[str], work: dict[str, Callable[[], dict]]) -> list[O
 def run_events(spark: SparkSession, outcomes: list[Outcome], channel_id: int, at: str) -> DataFrame:
     rows = [(at, channel_id, o.phase, o.kind, o.reason) for o in outcomes]
     return spark.createDataFrame(rows, "observed_at string, channel_id bigint, phase string, kind string, reason string")
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Adds the events of a run to the log, partitioned by channel."""
+    events.write.mode("append").partitionBy("channel_id").parquet(path)

@@ -160,7 +160,7 @@ def media_rows(messages: DataFrame) -> DataFrame:
     name = F.get(F.filter(names, lambda a: fn.tag_is(a["_"], "documentattributefilename")), 0)["file_name"]
     mime = F.when(kind == "photo", "image/jpeg").otherwise(at("$.document.mime_type"))
     rows = messages.where("media_kind is not null and deleted_at is null")
-    return rows.select("uri", "channel_id", "msg_id", "seq", kind.alias("kind"), F.coalesce(photo, document).alias("content_id"), mime.alias("mime_type"), F.when(kind == "document", name).alias("file_name"), fn.file_suffix(kind, name, mime).alias("suffix"))
+    return rows.select("uri", "channel_id", "msg_id", "seq", kind.alias("kind"), F.coalesce(photo, document).alias("content_id"), mime.alias("mime_type"), F.when(kind == "document", name).alias("file_name"), F.when(kind == "document", at("$.document.attributes")).alias("attributes_json"), fn.file_suffix(kind, name, mime).alias("suffix"))
 
 
 # The flags kept of peers and of channels.

@@ -193,19 +193,19 @@ def capture_rows(spark, sf_dir):
     return both.select(F.lit("web").alias("origin"), "id", "source", "channel_username", "msg_id", "url")
 
 
-_MEDIA = """media as (select seq, uri, channel_id, msg_id, case when json_extract_string(media_json, '$.photo.id') is not null then 'photo' when json_extract_string(media_json, '$.document.id') is not null then 'document' end as kind,
+_MEDIA = """media as (select cast(json_extract(media_json, '$.document.attributes') as varchar) as attributes, seq, uri, channel_id, msg_id, case when json_extract_string(media_json, '$.photo.id') is not null then 'photo' when json_extract_string(media_json, '$.document.id') is not null then 'document' end as kind,
   cast(coalesce(json_extract_string(media_json, '$.photo.id'), json_extract_string(media_json, '$.document.id')) as bigint) as content_id, json_extract_string(media_json, '$.document.mime_type') as mime,
   json_extract_string(list_filter(coalesce(cast(json_extract(media_json, '$.document.attributes') as json[]), []), lambda a: lower(json_extract_string(a, '$._')) = 'documentattributefilename')[1], '$.file_name') as fname
   from messages where media_kind is not null and deleted_at is null)"""
 
 
 @query(
-    f"""with {_MEDIA} select seq, uri, kind, content_id, case when kind = 'photo' then 'image/jpeg' else mime end as mime_type, case when kind = 'document' then fname end as file_name,
+    f"""with {_MEDIA} select seq, uri, kind, content_id, case when kind = 'photo' then 'image/jpeg' else mime end as mime_type, case when kind = 'document' then fname end as file_name, case when kind = 'document' then attributes end as attributes_json,
 case when kind = 'photo' then '.jpg' when regexp_extract(fname, '[^/.](\\.[^./]+)$', 1) <> '' then regexp_extract(fname, '[^/.](\\.[^./]+)$', 1) else coalesce(case mime {" ".join(f"when '{k}' then '{v}'" for k, v in fn.MIME_SUFFIXES.items())} end, '') end as suffix from media"""
 )
 def media_attributes(spark, sf_dir):
     """What the media of living messages hold."""
-    return projections.media_rows(messages(spark, sf_dir)).select("seq", "uri", "kind", "content_id", "mime_type", "file_name", "suffix")
+    return projections.media_rows(messages(spark, sf_dir)).select("seq", "uri", "kind", "content_id", "mime_type", "file_name", "attributes_json", "suffix")
 
 
 # --- predicates ----------------------------------------------------------------------

@@ -114,6 +114,32 @@ def media_stream(spark, sf_dir):
     return spark.read.schema("kind string, content_id bigint").parquet(f"{root}/out").select("kind", "content_id")
 
 
+_FATES = """with media as (select seq, uri, msg_id, case when json_extract_string(media_json, '$.photo.id') is not null then 'photo' when json_extract_string(media_json, '$.document.id') is not null then 'document' end as kind,
+  cast(coalesce(json_extract_string(media_json, '$.photo.id'), json_extract_string(media_json, '$.document.id')) as bigint) as content_id from messages where media_kind is not null and deleted_at is null),
+filed as (select *, case when content_id % 10 <> 0 then sha256(cast(content_id % 500 as varchar)) end as sha from media),
+fated as (select *, case when content_id is null then 'skipped_kind' when sha is null then 'unavailable' when row_number() over (partition by sha order by msg_id, seq) = 1 then 'downloaded' else 'duplicates' end as disposition from filed)
+"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media rows and their bytes (stand-in: a content's bytes are its id modulo 500, those of every tenth can't be had)."""
+    rows = projections.media_rows(table(spark, sf_dir, "messages")).select("kind", "content_id", "uri", "msg_id", "seq")
+    files = rows.where("content_id % 10 <> 0").select("kind", "content_id", F.sha2((F.col("content_id") % 500).cast("string"), 256).alias("sha256")).distinct()
+    return merge.stored_media(rows, files, ["kind", "content_id"], ["msg_id", "seq"])
+
+
+@query(_FATES + "select disposition, count(*) as n, count(distinct sha) as n_files from fated group by 1")
+def stored_dispositions(spark, sf_dir):
+    """What becomes of each message's media by content and by sha256 (bytes are stand-ins)."""
+    return _stored(spark, sf_dir).groupBy("disposition").agg(F.count("*").alias("n"), F.countDistinct("sha256").alias("n_files"))
+
+
+@query(_FATES + "select sha as sha256, substr(sha, 1, 2) || '/' || sha as path, uri as source_message_uri, disposition from fated where disposition in ('downloaded', 'duplicates')")
+def custody_rows(spark, sf_dir):
+    """The custody log: every message that bytes are kept for, and where they lie (bytes are stand-ins)."""
+    return merge.custody(_stored(spark, sf_dir)).select("sha256", "path", "source_message_uri", "disposition")
+
+
 # --- exports ---------------------------------------------------------------------------
 
 _CHANNEL = 1700000001

@@ -323,7 +323,7 @@ def test_sql_functions(spark):
     assert r.c == one(spark, fn.content_hash(F.col("t"), F.lit(None)), t="x")
 
 
-def test_operations(spark):
+def test_operations(spark, tmp_path):
     log = spark.createDataFrame([("a", 100), ("a", 50), ("b", 10)], "method string, until bigint")
     assert {r.method: r.remaining for r in operations.cooldowns(log, F.lit(60)).collect()} == {"a": 40, "b": 0}
     checks = spark.createDataFrame([("p", "fail", True), ("p", "warn", False), ("q", "fail", False)], "profile string, severity string, ok boolean")
@@ -340,7 +340,32 @@ def test_operations(spark):
 
     out = operations.run_phases(["channel", "history", "graph", "web"], {"channel": lambda: {"n": 1}, "history": stop("skip"), "graph": stop("hard_stop"), "web": lambda: {}})
     assert [(o.phase, o.kind) for o in out] == [("channel", "done"), ("history", "skip"), ("graph", "hard_stop")]
-    assert operations.run_events(spark, out, 5, "t").count() == 3
+    events = operations.run_events(spark, out, 5, "t")
+    for _ in range(2):
+        operations.append_events(events, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).where("channel_id = 5").count() == 6
+
+
+def test_stored_media_by_bytes(spark):
+    rows = spark.createDataFrame([("photo", 1, "a", 1), ("photo", 2, "b", 2), ("photo", 1, "c", 3), ("photo", 3, "d", 4), (None, None, "e", 5)], "kind string, content_id bigint, uri string, msg_id bigint")
+    files = spark.createDataFrame([("photo", 1, "s1"), ("photo", 2, "s1"), ("photo", 2, "s1")], "kind string, content_id bigint, sha256 string")
+    stored = merge.stored_media(rows, files, ["kind", "content_id"], ["msg_id"])
+    assert {r.uri: r.disposition for r in stored.collect()} == {"a": "downloaded", "b": "duplicates", "c": "duplicates", "d": "unavailable", "e": "skipped_kind"}
+    assert {(r.source_message_uri, r.path) for r in merge.custody(stored).collect()} == {(u, "s1/s1") for u in "abc"}
+
+
+def test_preflight(spark):
+    day = 86_400_000_000
+    closed, open_, none = '{"rules":[{"_":"privacyValueAllowContacts"}]}', '{"rules":[{"_":"PrivacyValueAllowAll"}]}', '{"rules":[]}'
+    schema = "profile string, require_proxy boolean, proxy string, session_created bigint, has_password boolean, username string, photo string, about string, phone_rules string, lastseen_rules string, photo_rules string"
+    rows = [("good", True, "socks", 0, True, None, "", None, closed, closed, closed), ("shown", False, None, 0, True, "me", None, None, closed, closed, closed), ("bad", True, "", 95 * day, None, None, None, None, open_, none, None), ("none", False, None, None, True, None, None, None, closed, closed, closed)]
+    checks = operations.preflight(spark.createDataFrame(rows, schema), F.lit(100 * day), 30)
+    assert checks.count() == 28
+    failed = {}
+    for r in checks.where("not ok").collect():
+        failed.setdefault(r.profile, set()).add(r.name)
+    assert failed == {"shown": {"minimal_profile"}, "bad": {"proxy", "session_age", "two_factor_auth", "privacy_phone", "privacy_lastseen", "privacy_photo"}, "none": {"session_age"}}
+    assert {r.profile for r in operations.blocked(checks).where("blocked").collect()} == {"bad", "none"}
 
 
 def batch(*updates, new=(), **more):
