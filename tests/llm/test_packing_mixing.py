@@ -101,3 +101,29 @@ def test_tokens_in_pieces(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "d bigint, t string")
     got = {r.id: (r.n_tokens, r.t2) for r in tokens.sizes(df, F.col("d"), F.col("t"), t2=F.length("t")).collect()}
     assert got == {1: (whole, len(text)), 2: (0, None), 3: (0, 0)}
+
+
+def test_whole_packing_query(spark):
+    """Of all documents: every token in one place, no split below the capacity, few containers more than the tokens need."""
+    from skiffline.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    packed = queries.p8_bins(spark, sf).toPandas()
+    sizes = tokens.sizes(spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id"), F.col("text")).toPandas().set_index("id")["n_tokens"]
+    sizes = sizes[sizes > 0]
+    for (_, capacity), own in packed.groupby(["pack_name", "capacity"]):
+        whole = own.groupby("item_id")["piece_size"].agg(["sum", "count"])
+        assert (whole["sum"].sort_index() == sizes.sort_index()).all() and len(whole) == len(sizes)
+        assert (whole["count"] == -(-whole["sum"] // capacity)).all()
+        used = own.groupby("bin_id")["piece_size"].sum()
+        assert used.max() <= capacity
+        assert len(used) <= 1.06 * -(-int(sizes.sum()) // capacity) + 2
+
+
+def test_long_documents_take_part(spark):
+    """Of 4,000 short and 40 long documents of one source about as many of either are taken as their weights say."""
+    rows = [(i, "a", 10 if i >= 40 else 1500, 1.0) for i in range(4040)]
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    chosen = mixing.select(spark.createDataFrame(rows, "id bigint, source string, size bigint, weight double"), targets, total=50_000).collect()
+    assert 12 <= sum(r.id < 40 for r in chosen) <= 28
+    assert abs(sum(r.size for r in chosen) - 50_000) <= 750
