@@ -53,9 +53,9 @@ def _jump(state: DataFrame, table: DataFrame, done: str, key: str) -> DataFrame:
     return asked.join(table, (F.col("ask") == F.col("k_v")) & (F.coalesce(F.col("ask_t"), F.col("t")) == F.col("k_t")) & ~F.col(done), "left")
 
 
-def _most_open(df: DataFrame) -> int:
-    """The greatest number of rows not done in one tree."""
-    return df.where("not done").groupBy("t").count().agg(F.max("count")).first()[0] or 0
+def _open(df: DataFrame) -> int:
+    """The number of rows not done; reads one column of a written table."""
+    return df.where("not done").count()
 
 
 def _doubled(scratch: Scratch, edges: DataFrame, sizes: bool) -> tuple[DataFrame, str]:
@@ -65,12 +65,12 @@ def _doubled(scratch: Scratch, edges: DataFrame, sizes: bool) -> tuple[DataFrame
     come to an end keep ``done`` false; they are the cyclic ones.
     """
     state, path = scratch.write(edges.select("t", "v", "ptr", F.lit(1).cast("bigint").alias("dist"), *([F.lit(1).cast("bigint").alias("cnt")] if sizes else []), F.lit(False).alias("done")))
-    step, open_before = 1, None
+    open_before = None
     while True:
-        still = _most_open(state)
-        # Open is what is at least step deep. An acyclic node of depth d has d - step + 1 open nodes on its way,
-        # itself included, so if no tree had more than step of them, the round after that reached every end.
-        if not still or (open_before is not None and open_before <= step // 2):
+        still = _open(state)
+        # Open is what is at least step deep, and what is cyclic.  If a round closed nothing, no node is between half a step
+        # and a step deep; then none is deeper either, as the way up from one would pass through such a node.
+        if not still or still == open_before:
             return state, path
         table = state.select(F.col("t").alias("k_t"), F.col("v").alias("k_v"), F.col("ptr").alias("n_ptr"), F.col("dist").alias("n_dist"), F.col("done").alias("n_done"))
         base = state
@@ -88,7 +88,7 @@ def _doubled(scratch: Scratch, edges: DataFrame, sizes: bool) -> tuple[DataFrame
         )
         (state, new), old = scratch.write(moved), path
         scratch.drop(old)
-        path, step, open_before = new, step * 2, still
+        path, open_before = new, still
 
 
 def hierarchy(rows: DataFrame, tree: Column, node: Column, parent: Column, bare: bool = False) -> DataFrame:
@@ -149,7 +149,7 @@ def hierarchy(rows: DataFrame, tree: Column, node: Column, parent: Column, bare:
 def _weighted(scratch: Scratch, links: DataFrame) -> DataFrame:
     """Doubling over links (t, v, p, ptr, dist) that already span several steps; acyclic, at most log2(n) levels."""
     state, path = scratch.write(links.withColumn("done", F.lit(False)))
-    while _most_open(state):
+    while _open(state):
         table = state.select(F.col("t").alias("k_t"), F.col("v").alias("k_v"), F.col("ptr").alias("n_ptr"), F.col("dist").alias("n_dist"), F.col("done").alias("n_done"))
         found = F.col("n_ptr").isNotNull()
         moved = _jump(state, table, "done", "ptr").select("t", "v", "p", F.coalesce("n_ptr", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("n_dist", F.lit(0))).alias("dist"), (F.col("done") | ~found | F.coalesce("n_done", F.lit(False))).alias("done"))
