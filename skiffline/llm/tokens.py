@@ -10,7 +10,6 @@ import base64
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULT = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this family cut text before merging.

@@ -50,7 +50,7 @@ CATEGORIES = ["abuse", "hate", "sexual"]
 ORDERS = (3, 4, 5)
 BITS = 19
 SAMPLE_TEXTS = 16_000  #: unlabelled texts that the fit uses, at most about this many
-LABEL_ROWS = 20_000  #: labelled rows that the fit uses, at most about this many
+LABEL_ROWS = 2_000  #: labelled rows that the fit uses, at most about this many
 PRIOR = 0.02  #: class prior: the share of a category among unlabelled sentences, an upper bound (see above)
 EPOCHS = (4, 6, 6, 6, 6, 10)  #: passes over the unlabelled sentences in each round
 THRESHOLD = 0.42  #: texts whose score is above it have a category
