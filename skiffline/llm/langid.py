@@ -82,7 +82,7 @@ def sentences_of(text: str) -> list[str]:
         dense = 0 if held.isascii() else len(_DENSE.findall(held))
         letters = sum(map(len, words))
         marked = _MARK.search(held) is not None
-        if (dense >= 5 and (marked or _THAI.search(held))) or (dense < 5 and (marked and len(words) >= 3 and letters >= 8 or len(words) >= 5 and letters >= 18)):
+        if dense >= 8 or (dense >= 5 and (marked or _THAI.search(held))) or (dense < 5 and (marked and len(words) >= 3 and letters >= 8 or len(words) >= 5 and letters >= 18)):
             out.append(_BLANKS.sub(" ", held.lower().translate(_FOLD)).strip())
             held = ""
         elif not marked:

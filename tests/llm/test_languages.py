@@ -29,6 +29,7 @@ def test_labels(spark, label, code):
 
 def test_sentences():
     assert langid.sentences_of("The cat sat here. Der Hund schläft heute!") == ["the cat sat here", "der hund schläft heute"]
+    assert langid.sentences_of("夜间机器人置顶了三张旧照片\nThe cat sat here.") == ["夜间机器人置顶了三张旧照片", "the cat sat here"]
     for nothing in ["", "@name #tag https://x.example/1", "12:40", "🔥🔥", "ok", "+1 555 010 2000", "a.b@mail.example", "…"]:
         assert langid.sentences_of(nothing) == []
 
