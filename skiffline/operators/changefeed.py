@@ -90,15 +90,15 @@ def replay(feeds: list[DataFrame], keys: list[str], values: list[str], sealed: b
     """The state after the committed changes: one row per key alive, with its values, ``_instant`` and ``_commit``.
 
     Only commits up to each stream's watermark show.  ``sealed``: the logs have ended, so
-    gaps are void and each watermark stands at the last commit.  (Streams number a handful, one
-    row each, which bounds the broadcast.)
+    gaps are void and every commit shows.  (Streams number a handful, one row each, which
+    bounds the broadcast.)
     """
     feed = complete_transactions(reduce(DataFrame.unionByName, feeds))
     if sealed:  # with its gaps void a log is unbroken up to its last commit
-        marks = feed.groupBy(F.col("_stream").alias("_m")).agg(F.max("_commit").alias("watermark"))
+        feed = feed.where(F.col("_commit").isNotNull())
     else:
         marks = watermarks(feed).select(F.col("_stream").alias("_m"), "watermark")
-    feed = feed.join(F.broadcast(marks), (F.col("_stream") == F.col("_m")) & (F.col("_commit") <= F.col("watermark")), "left_semi")
+        feed = feed.join(F.broadcast(marks), (F.col("_stream") == F.col("_m")) & (F.col("_commit") <= F.col("watermark")), "left_semi")
     live = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], (F.col("_op") != NOTHING) & F.col("_instant").isNotNull())
     last = feed.where(live).groupBy(*keys).agg(F.max(F.struct("_instant", "_op", "_ties", "_commit", *values)).alias("_last"))
     return last.where(F.col("_last._op") == UPSERT).select(*keys, *[F.col(f"_last.{v}").alias(v) for v in values], F.col("_last._instant").alias("_instant"), F.col("_last._commit").alias("_commit"))

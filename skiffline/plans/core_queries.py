@@ -86,8 +86,8 @@ def feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state that the logs show up to their contiguous watermarks; both number their rows from 1 without a gap."""
-    return changefeed.replay(feeds(spark, sf_dir), ["channel_id", "msg_id"], ["content_hash"]).select("channel_id", "msg_id", "content_hash")
+    """The state after all landed changes: the tables are ended logs whose numbers may have gaps (``p5_watermarks`` tells how far they have none)."""
+    return changefeed.replay(feeds(spark, sf_dir), ["channel_id", "msg_id"], ["content_hash"], sealed=True).select("channel_id", "msg_id", "content_hash")
 
 
 def p5_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skiffline.functions.instants import instant_micros
 from skiffline.operators import changefeed, hierarchy, history, nested, split
+from skiffline.plans import core_queries
 from skiffline.session import Scratch, clear_scratch
 
 # --- instants
@@ -194,6 +195,15 @@ def test_replay_holds_gaps_and_incomplete_transactions(spark):
     assert changefeed.replay([feed(spark, [(None,) * 7])], ["k"], ["v"], sealed=True).count() == 0
 
 
+def test_present_state_has_all_changes_of_logs_with_gaps(spark, tmp_path):
+    """Numbers that begin late and have gaps, as where tables were landed in parts."""
+    messages = [(n, 7, n % 10, f"2025-01-01T00:00:{n % 10:02d}Z", None, f"2025-01-01T00:00:{n % 10:02d}Z", f"h{n}") for n in (5, 6, 1_000_003, 1_000_004)]
+    spark.createDataFrame(messages, "seq bigint, channel_id bigint, msg_id bigint, date string, edit_date string, last_seen string, content_hash string").write.parquet(f"{tmp_path}/messages.parquet")
+    deletes = [(1, "tg:msg:7/6", "update", "2025-02-01T00:00:00Z"), (100_001, "tg:msg:7/4", "empty", "2025-02-01T00:00:00Z"), (200_001, "tg:msg:7/3", "gap", "2025-02-01T00:00:00Z")]
+    spark.createDataFrame(deletes, "id bigint, message_uri string, evidence string, observed_at string").write.parquet(f"{tmp_path}/message_tombstones.parquet")
+    assert sorted(map(tuple, core_queries.p5_found(spark, str(tmp_path)).collect())) == [(7, 3, "h1000003"), (7, 5, "h5")]
+
+
 def test_watermarks_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(changefeed, "BLOCK", 4)
     a = feed(spark, [(i, 1, 0, i, "v", None, 1) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12)], "a")
