@@ -76,6 +76,31 @@ def test_counts_over_distinct_texts(spark):
     assert total == 3 and (counts == tox.frequencies([s for t in ("One here. Two there.", "Three more.") for s in tox.sentences_of(t)])).all()
 
 
+def test_copies_of_the_labels_are_as_one(spark, data, monkeypatch):
+    """The label table held 25 times over: every label takes part, none is confirmed by its own copies."""
+    labels, pool = data
+    labels = [*labels, ("Thrice labelled, you zorgfish.", "abuse"), (None, "clean"), ("No category.", None)] + [("Thrice labelled, you zorgfish.", "abuse")] * 2
+    monkeypatch.setattr(tox, "fit", lambda given, unlabelled, counts: given)
+    corpus = spark.createDataFrame([(t,) for t in pool[:50]], "x string")
+    once, copied = (tox.fit_on(spark.createDataFrame(labels * n, "t string, c string"), F.col("t"), F.col("c"), corpus, F.col("x")) for n in (1, 25))
+    assert copied == once == sorted(x for x in labels if None not in x)
+
+
+def test_all_labels_take_part(spark, monkeypatch):
+    monkeypatch.setattr(tox, "fit", lambda given, unlabelled, counts: given)
+    labels = [(f"label {i}", tox.CATEGORIES[i % 3]) for i in range(3000)]
+    assert tox.fit_on(spark.createDataFrame(labels, "t string, c string"), F.col("t"), F.col("c"), spark.createDataFrame([("Text.",)], "x string"), F.col("x")) == sorted(labels)
+
+
+def test_alike_as_compared_by_sets(data):
+    pieces = [s for t, _ in data[0][:120] for s in tox.sentences_of(t)]
+    g = tox._five_grams(pieces + ["beyond the first ones"])
+    sets, bounds = tox._Sets(g, len(pieces)), np.append(g.starts, len(g.ids))
+    own = [set(g.ids[bounds[i] : bounds[i + 1]].tolist()) for i in range(len(pieces))]
+    want = [[len(a & b) >= tox.ALIKE * min(len(a), len(b)) and len(a & b) >= tox.ALIKE * 0.8 * max(len(a), len(b)) for b in own] for a in own]
+    assert np.array_equal([sets.alike(i) for i in range(len(pieces))], want) and sum(map(sum, want)) > len(pieces)
+
+
 def test_risk_is_not_negative():
     from skiffline.llm.textvec import grams
 
